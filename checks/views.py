@@ -123,6 +123,165 @@ SQL["positions"] = """
 """
 
 
+def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("team_name"), F.col("n_nationkey").cast("string").alias("team_id")
+    )
+
+
+def _paired_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a game: nations 0 and 1 meet, 2 and 3 meet, and so on; the last meets an unknown team."""
+    nation = F.col("c_nationkey")
+    home = nation - nation % 2
+    return (
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .select(
+            "o_orderkey",
+            "o_orderpriority",
+            F.year("o_orderdate").alias("year"),
+            F.month("o_orderdate").alias("month"),
+            F.floor("o_totalprice").alias("price"),
+            home.alias("home"),
+            (home + 1).alias("away"),
+        )
+    )
+
+
+def odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, price = F.col("o_orderkey"), F.col("price")
+    return _paired_orders(spark, sf_dir).select(
+        "o_orderkey",
+        F.col("year").cast("string").alias("schedule_season"),
+        F.when(key % 50 == 0, "Wildcard").otherwise(F.col("month").cast("string")).alias("schedule_week"),
+        F.concat(F.lit("NATION_"), F.col("home")).alias("team_home"),
+        F.concat(F.lit("NATION_"), F.col("away")).alias("team_away"),
+        F.when(key % 3 == 0, F.col("home").cast("string"))
+        .when(key % 3 == 1, F.col("away").cast("string"))
+        .alias("team_favorite_id"),
+        F.when(key % 37 == 0, "PK")
+        .otherwise(F.concat(F.lit("-"), (price % 14).cast("string"), F.lit(".5")))
+        .alias("spread_favorite"),
+        F.when(key % 41 == 0, " ").otherwise((F.lit(35) + price % 20).cast("string")).alias("over_under_line"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("schedule_playoff"),
+    )
+
+
+SQL["paired_orders"] = """
+  SELECT o_orderkey, o_orderpriority, year(o_orderdate) AS year, month(o_orderdate) AS month,
+         CAST(floor(o_totalprice) AS BIGINT) AS price, c_nationkey - c_nationkey % 2 AS home,
+         c_nationkey - c_nationkey % 2 + 1 AS away
+  FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+
+SQL["odds"] = """
+  SELECT o_orderkey, CAST(year AS VARCHAR) AS schedule_season,
+         CASE WHEN o_orderkey % 50 = 0 THEN 'Wildcard' ELSE CAST(month AS VARCHAR) END AS schedule_week,
+         'NATION_' || home AS team_home, 'NATION_' || away AS team_away,
+         CASE o_orderkey % 3 WHEN 0 THEN CAST(home AS VARCHAR) WHEN 1 THEN CAST(away AS VARCHAR) END
+           AS team_favorite_id,
+         CASE WHEN o_orderkey % 37 = 0 THEN 'PK' ELSE '-' || price % 14 || '.5' END AS spread_favorite,
+         CASE WHEN o_orderkey % 41 = 0 THEN ' ' ELSE CAST(35 + price % 20 AS VARCHAR) END AS over_under_line,
+         o_orderpriority = '1-URGENT' AS schedule_playoff
+  FROM paired_orders
+"""
+
+SQL["odds_numbers"] = """
+  SELECT CAST(try_cast(schedule_season AS DOUBLE) AS BIGINT) AS season,
+         CAST(try_cast(schedule_week AS DOUBLE) AS BIGINT) AS week, team_home, team_away, team_favorite_id,
+         try_cast(spread_favorite AS DOUBLE) AS spread_favorite, try_cast(over_under_line AS DOUBLE) AS total_line,
+         schedule_playoff
+  FROM odds
+  WHERE try_cast(schedule_week AS DOUBLE) IS NOT NULL AND try_cast(spread_favorite AS DOUBLE) IS NOT NULL
+        AND try_cast(over_under_line AS DOUBLE) IS NOT NULL
+"""
+
+SQL["home_lines"] = """
+  SELECT season, week, CAST(h.n_nationkey AS VARCHAR) AS home_id, CAST(a.n_nationkey AS VARCHAR) AS away_id,
+         CASE WHEN team_favorite_id = CAST(h.n_nationkey AS VARCHAR) THEN spread_favorite ELSE -spread_favorite END
+           AS home_spread, total_line
+  FROM odds_numbers LEFT JOIN nation h ON team_home = h.n_name LEFT JOIN nation a ON team_away = a.n_name
+  WHERE NOT schedule_playoff AND season BETWEEN 1995 AND 2001
+"""
+
+SQL["team_lines"] = """
+  SELECT season, week, team, spread_line, total_line, total_line / 2 - spread_line / 2 AS implied_total
+  FROM (SELECT season, week, home_id AS team, home_spread AS spread_line, total_line FROM home_lines
+        UNION ALL SELECT season, week, away_id, -home_spread, total_line FROM home_lines)
+  WHERE team IS NOT NULL
+"""
+
+
+def upcoming_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as two market rows, one with the spread and one with the total."""
+    key, price = F.col("o_orderkey"), F.col("price")
+    spread = (price % 29 - 14).cast("string")
+    points = F.when(key % 41 == 0, "off").otherwise((F.lit(35) + price % 20).cast("string"))
+    rows = F.explode(
+        F.array(
+            F.struct(
+                F.lit("spreads").alias("market"),
+                spread.alias("point_1"),
+                F.lit(None).cast("string").alias("over/under"),
+            ),
+            F.struct(
+                F.lit("totals").alias("market"), F.lit(None).cast("string").alias("point_1"), points.alias("over/under")
+            ),
+        )
+    )
+    return (
+        _paired_orders(spark, sf_dir)
+        .select(
+            F.col("year").alias("season"),
+            F.col("month").alias("week"),
+            F.concat(F.lit("NATION_"), F.col("home")).alias("home_team"),
+            F.concat(F.lit("NATION_"), F.col("away")).alias("away_team"),
+            "o_orderkey",
+            rows.alias("r"),
+        )
+        .select("season", "week", "home_team", "away_team", "o_orderkey", "r.*")
+    )
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a price on its part, the name written in several ways."""
+    number = F.col("l_linenumber")
+    suffix = F.when(number == 1, " Jr.").when(number == 2, " II").when(number == 3, "").otherwise(" Sr")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            F.concat(F.upper("p_name"), F.lit("' "), (F.col("p_partkey") % 700).cast("string"), suffix).alias(
+                "description"
+            ),
+            F.when(F.col("l_quantity") <= 12, -F.lit(95) - F.col("l_quantity") * 8)
+            .when(F.col("l_quantity") == 13, F.lit(0))
+            .otherwise(F.col("l_quantity") * 20 - 180)
+            .cast("int")
+            .alias("price"),
+        )
+    )
+
+
+SQL["prices"] = """
+  SELECT upper(p_name) || ''' ' || CAST(p_partkey % 700 AS VARCHAR)
+           || CASE l_linenumber WHEN 1 THEN ' Jr.' WHEN 2 THEN ' II' WHEN 3 THEN '' ELSE ' Sr' END AS description,
+         CAST(CASE WHEN l_quantity <= 12 THEN -95 - l_quantity * 8 WHEN l_quantity = 13 THEN 0
+                   ELSE l_quantity * 20 - 180 END AS BIGINT) AS price
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+"""
+
+SQL["best_prices"] = """
+  SELECT merge_name, max(price) AS price, min(prob) AS market_implied_prob, count(*) AS n_prices
+  FROM (SELECT trim(regexp_replace(regexp_replace(lower(description), '[^a-z0-9\\s]', '', 'g'),
+                                   '\\s(jr|sr|ii|iii|iv)$', '')) AS merge_name, price,
+               CASE WHEN price > 0 THEN 100.0 / (price + 100) WHEN price < 0 THEN abs(price) / (abs(price) + 100.0)
+                    ELSE 0 END AS prob
+        FROM prices)
+  GROUP BY merge_name
+"""
+
+
 def with_sql(names: str, body: str) -> str:
     """``body`` behind the named views, given in the order they build on each other."""
     parts = [f"{name} AS ({SQL[name]})" for name in names.split()]

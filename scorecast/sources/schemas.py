@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-WEEKLY = StructType.fromDDL(
-    "player_id string, player_display_name string, position string, recent_team string, opponent_team string,"
-    " season int, week int, carries double, rushing_yards double, rushing_tds double, receptions double,"
-    " targets double, receiving_yards double, receiving_tds double, wopr double, rushing_epa double,"
-    " receiving_epa double, target_share double"
+from pyspark.sql.types import BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructType
+
+_TYPES: dict[str, DataType] = {
+    "text": StringType(),
+    "int": IntegerType(),
+    "bigint": LongType(),
+    "double": DoubleType(),
+    "flag": BooleanType(),
+}
+
+
+def columns(**by_type: str) -> StructType:
+    """A schema from space-separated column names per type, in the order given."""
+    schema = StructType()
+    for kind, names in by_type.items():
+        for name in names.split():
+            schema.add(name, _TYPES[kind])
+    return schema
+
+
+WEEKLY = columns(
+    text="player_id player_display_name position recent_team opponent_team",
+    int="season week",
+    double="carries rushing_yards rushing_tds receptions targets receiving_yards receiving_tds wopr rushing_epa"
+    " receiving_epa target_share",
 )
 
-PLAYS = StructType.fromDDL(
-    "season int, week int, posteam string, defteam string, drive double, yardline_100 double,"
-    " rush_attempt double, pass_attempt double, rusher_player_id string, receiver_player_id string,"
-    " touchdown double, rush_touchdown double, pass_touchdown double, epa double"
+PLAYS = columns(
+    int="season week",
+    text="posteam defteam rusher_player_id receiver_player_id",
+    double="drive yardline_100 rush_attempt pass_attempt touchdown rush_touchdown pass_touchdown epa",
 )
 
-ROSTERS = StructType.fromDDL("player_id string, player_name string, position string, team string, season int")
+ROSTERS = columns(text="player_id player_name position team", int="season")
 
-SCHEDULE = StructType.fromDDL("season int, week int, home_team string, away_team string")
+SCHEDULE = columns(int="season week", text="home_team away_team")
 
 # Read as text: the numbers need a forgiving cast.
-HISTORICAL_ODDS = StructType.fromDDL(
-    "schedule_season string, schedule_week string, team_home string, team_away string,"
-    " team_favorite_id string, spread_favorite string, over_under_line string, schedule_playoff boolean"
+HISTORICAL_ODDS = columns(
+    text="schedule_season schedule_week team_home team_away team_favorite_id spread_favorite over_under_line",
+    flag="schedule_playoff",
 )
 
-TEAMS = StructType.fromDDL("team_name string, team_id string")
+TEAMS = columns(text="team_name team_id")
 
-UPCOMING_LINES = StructType.fromDDL(
-    "home_team string, away_team string, market string, point_1 string, label_2 string, odd_2 string,"
-    " point_2 string, `over/under` string"
-)
+UPCOMING_LINES = columns(text="home_team away_team market point_1 label_2 odd_2 point_2 over/under")
 
-PRICES = StructType.fromDDL("description string, price int")
+PRICES = columns(text="description", int="price")
