@@ -282,6 +282,173 @@ SQL["best_prices"] = """
 """
 
 
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays summed to one row per part, team, season and week; part and position are looked up afterwards."""
+    rush, target = F.col("rush_attempt"), F.col("pass_attempt")
+    yards, epa = F.col("yardline_100"), F.col("epa")
+    sums = (
+        plays(spark, sf_dir)
+        .groupBy("player_id", F.col("posteam").alias("recent_team"), "season", "week")
+        .agg(
+            F.min("defteam").alias("opponent_team"),
+            F.sum(rush).alias("carries"),
+            F.sum(yards * rush).alias("rushing_yards"),
+            F.sum(F.when(rush == 1, F.col("rush_touchdown"))).alias("rushing_tds"),
+            F.sum(F.when(epa >= 0, target).otherwise(0.0)).alias("receptions"),
+            F.sum(target).alias("targets"),
+            F.sum(yards * target).alias("receiving_yards"),
+            F.sum(F.when(target == 1, F.col("pass_touchdown"))).alias("receiving_tds"),
+            F.sum(yards).alias("yards"),
+            F.sum(epa * rush).alias("rushing_epa"),
+            F.sum(epa * target).alias("receiving_epa"),
+            F.count(F.lit(1)).alias("n_plays"),
+        )
+    )
+    target_share = F.col("targets") / F.col("n_plays")
+    listed = rosters(spark, sf_dir).where("listing = 1").select("player_id", "player_name", "position")
+    return (
+        sums.join(listed, "player_id")
+        .withColumns(
+            {
+                "target_share": target_share,
+                "wopr": target_share * 1.5 + F.col("receiving_yards") / F.col("yards") * 0.7,
+            }
+        )
+        .drop("yards", "n_plays")
+        .withColumnRenamed("player_name", "player_display_name")
+    )
+
+
+SQL["weekly"] = """
+  SELECT s.*, player_name AS player_display_name, position, targets / n_plays AS target_share,
+         targets / n_plays * 1.5 + receiving_yards / yards * 0.7 AS wopr
+  FROM (SELECT player_id, posteam AS recent_team, season, week, min(defteam) AS opponent_team,
+               CAST(sum(rush_attempt) AS DOUBLE) AS carries, sum(yardline_100 * rush_attempt) AS rushing_yards,
+               CAST(sum(CASE WHEN rush_attempt = 1 THEN rush_touchdown END) AS DOUBLE) AS rushing_tds,
+               CAST(sum(CASE WHEN epa >= 0 THEN pass_attempt ELSE 0.0 END) AS DOUBLE) AS receptions,
+               CAST(sum(pass_attempt) AS DOUBLE) AS targets, sum(yardline_100 * pass_attempt) AS receiving_yards,
+               CAST(sum(CASE WHEN pass_attempt = 1 THEN pass_touchdown END) AS DOUBLE) AS receiving_tds,
+               sum(yardline_100) AS yards, sum(epa * rush_attempt) AS rushing_epa,
+               sum(epa * pass_attempt) AS receiving_epa, CAST(count(*) AS DOUBLE) AS n_plays
+        FROM plays GROUP BY player_id, posteam, season, week) s
+       JOIN (SELECT player_id, player_name, position FROM rosters WHERE listing = 1) USING (player_id)
+"""
+
+SQL["labelled"] = """
+  SELECT * REPLACE (coalesce(rushing_tds, 0) AS rushing_tds, coalesce(receiving_tds, 0) AS receiving_tds),
+         CASE WHEN coalesce(rushing_tds, 0) > 0 OR coalesce(receiving_tds, 0) > 0 THEN 1 ELSE 0 END
+           AS scored_touchdown
+  FROM weekly WHERE week <= 18 AND position IN ('QB', 'RB', 'TE', 'WR')
+"""
+
+
+def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        _paired_orders(spark, sf_dir)
+        .select(
+            F.col("year").cast("bigint").alias("season"),
+            F.col("month").cast("bigint").alias("week"),
+            F.col("home").cast("string").alias("home_team"),
+            F.col("away").cast("string").alias("away_team"),
+        )
+        .distinct()
+    )
+
+
+SQL["schedule"] = """
+  SELECT DISTINCT year AS season, month AS week, CAST(home AS VARCHAR) AS home_team, CAST(away AS VARCHAR) AS away_team
+  FROM paired_orders
+"""
+
+
+def consensus(lines: DataFrame) -> DataFrame:
+    """Many games a week here: their mean is the team's line."""
+    return lines.groupBy("team", "season", "week").agg(
+        *[F.avg(c).alias(c) for c in ("spread_line", "total_line", "implied_total")]
+    )
+
+
+SQL["consensus"] = """
+  SELECT team AS recent_team, season, week, avg(spread_line) AS spread_line, avg(total_line) AS total_line,
+         avg(implied_total) AS implied_total
+  FROM team_lines GROUP BY ALL
+"""
+
+SQL["shares"] = """
+  SELECT player_id, posteam AS recent_team, season, week,
+         coalesce(r20 / nullif(tr20, 0), 0) AS redzone_carry_share, coalesce(t20 / nullif(tt20, 0), 0)
+           AS redzone_target_share,
+         coalesce(r5 / nullif(tr5, 0), 0) AS inside_5_carry_share, coalesce(t5 / nullif(tt5, 0), 0)
+           AS inside_5_target_share
+  FROM (SELECT player_id, posteam, season, week, CAST(sum(rush_attempt) AS DOUBLE) AS r20,
+               CAST(sum(pass_attempt) AS DOUBLE) AS t20,
+               CAST(coalesce(sum(rush_attempt) FILTER (WHERE yardline_100 <= 5), 0) AS DOUBLE) AS r5,
+               CAST(coalesce(sum(pass_attempt) FILTER (WHERE yardline_100 <= 5), 0) AS DOUBLE) AS t5
+        FROM plays WHERE yardline_100 <= 20 AND rush_attempt + pass_attempt > 0 GROUP BY ALL)
+       JOIN (SELECT posteam, season, week, CAST(sum(rush_attempt) AS DOUBLE) AS tr20,
+                    CAST(sum(pass_attempt) AS DOUBLE) AS tt20,
+                    CAST(coalesce(sum(rush_attempt) FILTER (WHERE yardline_100 <= 5), 0) AS DOUBLE) AS tr5,
+                    CAST(coalesce(sum(pass_attempt) FILTER (WHERE yardline_100 <= 5), 0) AS DOUBLE) AS tt5
+             FROM plays WHERE yardline_100 <= 20 GROUP BY ALL) USING (posteam, season, week)
+"""
+
+SQL["conversion"] = """
+  SELECT recent_team, season, week, count(*) AS redzone_trips, sum(is_td) AS redzone_tds,
+         CAST(sum(is_td) AS DOUBLE) / count(*) AS redzone_td_rate
+  FROM (SELECT posteam AS recent_team, season, week, drive, max(touchdown) AS is_td
+        FROM plays WHERE yardline_100 <= 20 GROUP BY ALL)
+  GROUP BY ALL
+"""
+
+SQL["allowed"] = """
+  SELECT defteam AS opponent_team, season, week, sum(pass_touchdown) AS passing_tds_allowed,
+         sum(rush_touchdown) AS rushing_tds_allowed, sum(touchdown) AS total_tds_allowed, sum(epa) AS epa_allowed
+  FROM plays GROUP BY ALL
+"""
+
+_SHARES = "redzone_carry_share redzone_target_share inside_5_carry_share inside_5_target_share".split()
+_ALLOWED = [
+    f"{kind}_to_{position}"
+    for kind, position in [
+        ("rushing_tds_allowed", "RB"),
+        ("rushing_tds_allowed", "WR"),
+        ("rushing_tds_allowed", "QB"),
+        ("passing_tds_allowed", "RB"),
+        ("passing_tds_allowed", "WR"),
+        ("passing_tds_allowed", "TE"),
+    ]
+]
+
+
+def _zeros(columns: list[str]) -> str:
+    return ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in columns)
+
+
+SQL["players"] = f"""
+  SELECT labelled.*, {_zeros(_SHARES)} FROM labelled LEFT JOIN shares USING (player_id, recent_team, season, week)
+"""
+
+SQL["offences"] = f"""
+  SELECT recent_team, season, week,
+         {_zeros(["redzone_trips", "redzone_tds", "redzone_td_rate", "spread_line", "total_line", "implied_total"])}
+  FROM (SELECT DISTINCT recent_team, season, week FROM players)
+       LEFT JOIN conversion USING (recent_team, season, week) LEFT JOIN consensus USING (recent_team, season, week)
+"""
+
+SQL["defences"] = f"""
+  SELECT opponent_team, season, week,
+         {_zeros(["passing_tds_allowed", "rushing_tds_allowed", "total_tds_allowed", "epa_allowed", *_ALLOWED])}
+  FROM (SELECT DISTINCT opponent_team, season, week FROM players)
+       LEFT JOIN allowed USING (opponent_team, season, week)
+       LEFT JOIN allowed_positions USING (opponent_team, season, week)
+"""
+
+MODEL_INPUTS = (
+    "plays rosters positions allowed_positions weekly labelled shares conversion allowed paired_orders odds"
+    " odds_numbers home_lines team_lines consensus players offences defences"
+)
+
+
 def with_sql(names: str, body: str) -> str:
     """``body`` behind the named views, given in the order they build on each other."""
     parts = [f"{name} AS ({SQL[name]})" for name in names.split()]
