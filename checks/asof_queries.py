@@ -12,7 +12,7 @@ from checks.registry import register
 from scorecast.operators import asof
 from scorecast.operators import features as ft
 from scorecast.operators.windows import latest_present, latest_rows, recent_means
-from scorecast.plans.feature_table import build_histories, opponent_codes
+from scorecast.plans.feature_table import Histories, build_histories, opponent_codes
 from scorecast.plans.week_scores import scoring_frame as make_frame
 
 # The coming week of these queries.
@@ -193,8 +193,7 @@ _FRAME_SQL = f"""
 """
 
 
-def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    histories = build_histories(inputs(spark, sf_dir))
+def frame(spark: SparkSession, sf_dir: str, histories: Histories) -> DataFrame:
     upcoming = views.consensus(lines(spark, sf_dir)).where((F.col("season") == SEASON) & (F.col("week") == WEEK))
     return make_frame(
         histories,
@@ -202,14 +201,14 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         current_rosters(spark, sf_dir),
         SEASON,
         WEEK,
-        opponents=opponent_codes(histories.defences),
+        opponents=opponent_codes(histories),
         lines=upcoming,
     )
 
 
 @register("scoring_frame", views.with_sql(_FRAME_VIEWS, _FRAME_SQL))
 def scoring_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir)
+    return frame(spark, sf_dir, build_histories(inputs(spark, sf_dir)))
 
 
 @register(

@@ -24,9 +24,11 @@ _WEEKLY_COLUMNS = """
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> plan.Inputs:
+    # Here plays come from a join of four tables; storing them joins once instead of once per aggregate.
+    plays = save(views.plays(spark, sf_dir), "plays", partition_by="season")
     return plan.Inputs(
-        weekly=views.weekly(spark, sf_dir),
-        plays=views.plays(spark, sf_dir),
+        weekly=views.weekly(spark, sf_dir, plays),
+        plays=plays,
         positions=positions(spark, sf_dir),
         lines=views.consensus(lines(spark, sf_dir)),
     )
@@ -218,7 +220,7 @@ def encode_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = save(
         ft.label_weekly(views.weekly(spark, sf_dir)).select(*ft.PLAYER_WEEK, "position", "opponent_team"), "labelled"
     )
-    return plan.encode(labelled, plan.opponent_codes(labelled))
+    return plan.encode(labelled, ft.sorted_codes(labelled, "opponent_team", "opponent_encoded"))
 
 
 # Every lagged mean, the matchup and the codes in one table.

@@ -22,7 +22,7 @@ from scorecast.operators.models import (
 )
 from scorecast.operators.search import prepare, random_search
 from scorecast.plans.backtest import stack
-from scorecast.plans.feature_table import build_features
+from scorecast.plans.feature_table import Histories, build_histories, features_from, opponent_codes
 from scorecast.plans.week_scores import PROBABILITY, score_week
 from scorecast.sources.store import save
 
@@ -156,14 +156,14 @@ RF_PARAMS = {"numTrees": 20, "maxDepth": 5}
 GBT_PARAMS = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.1}
 
 
+def _stored_features(histories: Histories) -> DataFrame:
+    """Features with codes of the seasons before the coming one, as a table with one folder per season."""
+    table = features_from(histories, opponent_codes(histories, SEASON))
+    return save(table.select(*ft.PLAYER_WEEK, ft.LABEL, *ft.FEATURES), "features", partition_by="season")
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return save(
-        build_features(inputs(spark, sf_dir), fit_before=SEASON).select(
-            *ft.PLAYER_WEEK, "opponent_team", "position", ft.LABEL, *ft.FEATURES
-        ),
-        "features",
-        partition_by="season",
-    )
+    return _stored_features(build_histories(inputs(spark, sf_dir)))
 
 
 def _held_out_scores(spark: SparkSession, sf_dir: str, learner, params) -> DataFrame:
@@ -185,9 +185,10 @@ def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stack_score")
 def stack_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stack fitted on the seasons before the coming week, its probabilities for that week and the edges."""
-    history = features(spark, sf_dir).where(F.col("season") < SEASON)
+    histories = build_histories(inputs(spark, sf_dir))
+    history = _stored_features(histories).where(F.col("season") < SEASON)
     fitted = stack(history, {"rf": RF_PARAMS, "gbt": GBT_PARAMS}, n_folds=3)
-    coming = assemble(frame(spark, sf_dir), ft.FEATURES)
+    coming = assemble(frame(spark, sf_dir, histories), ft.FEATURES)
     return score_week(coming, fitted.score, views.prices(spark, sf_dir))
 
 

@@ -282,15 +282,15 @@ SQL["best_prices"] = """
 """
 
 
-def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly(spark: SparkSession, sf_dir: str, played: DataFrame | None = None) -> DataFrame:
     """Plays summed to one row per part, team, season and week; part and position are looked up afterwards."""
     rush, target = F.col("rush_attempt"), F.col("pass_attempt")
     yards, epa = F.col("yardline_100"), F.col("epa")
     sums = (
-        plays(spark, sf_dir)
+        (plays(spark, sf_dir) if played is None else played)
         .groupBy("player_id", F.col("posteam").alias("recent_team"), "season", "week")
         .agg(
-            F.min("defteam").alias("opponent_team"),
+            F.min(F.col("defteam").cast("int")).cast("string").alias("opponent_team"),
             F.sum(rush).alias("carries"),
             F.sum(yards * rush).alias("rushing_yards"),
             F.sum(F.when(rush == 1, F.col("rush_touchdown"))).alias("rushing_tds"),
@@ -322,7 +322,7 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["weekly"] = """
   SELECT s.*, player_name AS player_display_name, position, targets / n_plays AS target_share,
          targets / n_plays * 1.5 + receiving_yards / yards * 0.7 AS wopr
-  FROM (SELECT player_id, posteam AS recent_team, season, week, min(defteam) AS opponent_team,
+  FROM (SELECT player_id, posteam AS recent_team, season, week, CAST(min(CAST(defteam AS INTEGER)) AS VARCHAR) AS opponent_team,
                CAST(sum(rush_attempt) AS DOUBLE) AS carries, sum(yardline_100 * rush_attempt) AS rushing_yards,
                CAST(sum(CASE WHEN rush_attempt = 1 THEN rush_touchdown END) AS DOUBLE) AS rushing_tds,
                CAST(sum(CASE WHEN epa >= 0 THEN pass_attempt ELSE 0.0 END) AS DOUBLE) AS receptions,

@@ -78,14 +78,19 @@ def encode(df: DataFrame, opponents: StringIndexerModel) -> DataFrame:
     return opponents.transform(ft.position_codes().transform(df))
 
 
-def opponent_codes(df: DataFrame) -> StringIndexerModel:
-    return ft.sorted_codes(df, "opponent_team", "opponent_encoded")
+def opponent_codes(histories: Histories, fit_before: int | None = None) -> StringIndexerModel:
+    """Codes of the defences seen, in all seasons or in those before ``fit_before``."""
+    seen = histories.defences
+    if fit_before is not None:
+        seen = seen.where(F.col("season") < fit_before)
+    return ft.sorted_codes(seen, "opponent_team", "opponent_encoded")
+
+
+def features_from(histories: Histories, opponents: StringIndexerModel) -> DataFrame:
+    return encode(lagged_features(histories), opponents)
 
 
 def build_features(inputs: Inputs, fit_before: int | None = None) -> DataFrame:
     """The whole feature table; codes are fitted on seasons before ``fit_before``, if given."""
     histories = build_histories(inputs)
-    seen = histories.defences
-    if fit_before is not None:
-        seen = seen.where(F.col("season") < fit_before)
-    return encode(lagged_features(histories), opponent_codes(seen))
+    return features_from(histories, opponent_codes(histories, fit_before))

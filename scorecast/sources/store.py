@@ -21,10 +21,17 @@ def _new_path(df: DataFrame, name: str) -> str:
 
 
 def save(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` and read it back."""
+    """Write ``df`` and read it back.
+
+    With ``partition_by``, rows are first rebalanced on that column: a value
+    that holds much of the data is split over several files, and rare values
+    do not scatter into one small file per task.
+    """
     path = _new_path(df, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    if partition_by:
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
