@@ -23,8 +23,8 @@ _KEYS = "player_id, recent_team, season, week"
 _STATS = ["carries", "rushing_yards", "receptions", "targets", "receiving_yards"]
 
 
-def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.label_weekly(views.weekly(spark, sf_dir))
+def _weekly(spark: SparkSession, sf_dir: str, opponents: bool = False) -> DataFrame:
+    return ft.label_weekly(views.weekly(spark, sf_dir, opponents=opponents))
 
 
 @register(
@@ -63,7 +63,7 @@ def latest_by_player(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def latest_by_team(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = asof.history_before(_weekly(spark, sf_dir), SEASON, WEEK)
+    history = asof.history_before(_weekly(spark, sf_dir, opponents=True), SEASON, WEEK)
     return latest_rows(
         history.select(*ft.PLAYER_WEEK, "opponent_team"), ["recent_team"], ["season", "week", "player_id"]
     )
@@ -83,7 +83,7 @@ def latest_by_team(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def latest_present_by_player(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_present(
-        views.weekly(spark, sf_dir), ["player_id"], ft.PLAYER_ORDER, ["rushing_tds", "receiving_tds"]
+        views.weekly(spark, sf_dir, opponents=False), ["player_id"], ft.PLAYER_ORDER, ["rushing_tds", "receiving_tds"]
     )
 
 

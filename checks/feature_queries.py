@@ -11,7 +11,7 @@ from checks.play_queries import positions
 from checks.registry import register
 from scorecast.operators import features as ft
 from scorecast.operators.plays import usage_share
-from scorecast.operators.windows import lagged_means, lagged_means_in_blocks
+from scorecast.operators.windows import lagged_means, lagged_means_in_blocks, stretches
 from scorecast.plans import feature_table as plan
 from scorecast.sources.store import save
 
@@ -88,7 +88,8 @@ _PLAYER_SQL = "season, week, recent_team"
     ),
 )
 def lagged_mean_entity_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = lagged_means(ft.label_weekly(views.weekly(spark, sf_dir)), ["player_id"], ft.PLAYER_ORDER, _PLAYER_3)
+    labelled = ft.label_weekly(views.weekly(spark, sf_dir, opponents=False))
+    means = lagged_means(labelled, ["player_id"], ft.PLAYER_ORDER, _PLAYER_3)
     return means.select(*ft.PLAYER_WEEK, *_PLAYER_3)
 
 
@@ -100,7 +101,7 @@ def lagged_mean_entity_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def lagged_mean_entity_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = ft.label_weekly(views.weekly(spark, sf_dir))
+    labelled = ft.label_weekly(views.weekly(spark, sf_dir, opponents=False))
     players = ft.join_players(labelled, usage_share(views.offence_plays(spark, sf_dir)), plan.SHARES)
     return lagged_means(players, ["player_id"], ft.PLAYER_ORDER, _PLAYER_5).select(*ft.PLAYER_WEEK, *_PLAYER_5)
 
@@ -167,7 +168,7 @@ def lagged_mean_rowwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ft.join_teams(histories.players, histories.defences).select(
         *ft.PLAYER_WEEK,
         "opponent_team",
-        F.floor(F.col("player_id") / 1000).alias("id_range"),
+        stretches(histories.players, "player_id", 16).alias("id_range"),
         *[source for source, _ in ft.DEFENCE_MEANS.values()],
     )
     return lagged_means_in_blocks(

@@ -31,7 +31,7 @@ LABELLED = "plays rosters weekly labelled"
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.label_weekly(views.weekly(spark, sf_dir))
+    return ft.label_weekly(views.weekly(spark, sf_dir, opponents=False))
 
 
 @register(
@@ -203,4 +203,4 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("importance_topk")
 def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = season_split(assemble(features(spark, sf_dir), ft.FEATURES), SEASON)
-    return importances(RANDOM_FOREST.fit(train, ft.LABEL, RF_PARAMS), ft.FEATURES).limit(20)
+    return importances(spark, RANDOM_FOREST.fit(train, ft.LABEL, RF_PARAMS), ft.FEATURES).limit(20)

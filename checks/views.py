@@ -282,32 +282,39 @@ SQL["best_prices"] = """
 """
 
 
-def weekly(spark: SparkSession, sf_dir: str, played: DataFrame | None = None) -> DataFrame:
-    """Plays summed to one row per part, team, season and week; part and position are looked up afterwards."""
+def weekly(
+    spark: SparkSession, sf_dir: str, played: DataFrame | None = None, opponents: bool = True
+) -> DataFrame:
+    """Plays summed to one row per part, team, season and week; part and position are looked up afterwards.
+
+    Without ``opponents`` the plays need no join with orders and customer.
+    """
     rush, target = F.col("rush_attempt"), F.col("pass_attempt")
     yards, epa = F.col("yardline_100"), F.col("epa")
-    sums = (
-        (plays(spark, sf_dir) if played is None else played)
-        .groupBy("player_id", F.col("posteam").alias("recent_team"), "season", "week")
-        .agg(
-            F.min(F.col("defteam").cast("int")).cast("string").alias("opponent_team"),
-            F.sum(rush).alias("carries"),
-            F.sum(yards * rush).alias("rushing_yards"),
-            F.sum(F.when(rush == 1, F.col("rush_touchdown"))).alias("rushing_tds"),
-            F.sum(F.when(epa >= 0, target).otherwise(0.0)).alias("receptions"),
-            F.sum(target).alias("targets"),
-            F.sum(yards * target).alias("receiving_yards"),
-            F.sum(F.when(target == 1, F.col("pass_touchdown"))).alias("receiving_tds"),
-            F.sum(yards).alias("yards"),
-            F.sum(epa * rush).alias("rushing_epa"),
-            F.sum(epa * target).alias("receiving_epa"),
-            F.count(F.lit(1)).alias("n_plays"),
-        )
+    if played is None:
+        played = plays(spark, sf_dir) if opponents else offence_plays(spark, sf_dir)
+    sums = {
+        "carries": F.sum(rush),
+        "rushing_yards": F.sum(yards * rush),
+        "rushing_tds": F.sum(F.when(rush == 1, F.col("rush_touchdown"))),
+        "receptions": F.sum(F.when(epa >= 0, target).otherwise(0.0)),
+        "targets": F.sum(target),
+        "receiving_yards": F.sum(yards * target),
+        "receiving_tds": F.sum(F.when(target == 1, F.col("pass_touchdown"))),
+        "yards": F.sum(yards),
+        "rushing_epa": F.sum(epa * rush),
+        "receiving_epa": F.sum(epa * target),
+        "n_plays": F.count(F.lit(1)),
+    }
+    if opponents:
+        sums["opponent_team"] = F.min(F.col("defteam").cast("int")).cast("string")
+    summed = played.groupBy("player_id", F.col("posteam").alias("recent_team"), "season", "week").agg(
+        *[column.alias(name) for name, column in sums.items()]
     )
     target_share = F.col("targets") / F.col("n_plays")
     listed = rosters(spark, sf_dir).where("listing = 1").select("player_id", "player_name", "position")
     return (
-        sums.join(listed, "player_id")
+        summed.join(listed, "player_id")
         .withColumns(
             {
                 "target_share": target_share,

@@ -96,12 +96,18 @@ def steps_reached(value: Column, steps: Sequence[float]) -> Column:
     return between(0, len(steps))
 
 
-def fill_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """0 for missing numbers; text is left alone."""
+def fill_missing(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """0 for missing numbers, in ``columns`` or everywhere but in ``keys``; text is left alone.
+
+    Keys stay as they are: a missing key is no key 0, and a rewritten key
+    column would lose the partitioning that a later join could use.
+    """
     numeric = [
         field.name
         for field in df.schema.fields
-        if isinstance(field.dataType, NumericType) and (columns is None or field.name in columns)
+        if isinstance(field.dataType, NumericType)
+        and field.name not in keys
+        and (columns is None or field.name in columns)
     ]
     return df.na.fill(0, subset=numeric) if numeric else df
 

@@ -54,7 +54,7 @@ def label_weekly(
     """Regular-season rows of the four positions, labelled, missing numbers 0."""
     kept = weekly.where((F.col("week") <= last_week) & F.col("position").isin(list(positions)))
     label = scored(F.col("rushing_tds"), F.col("receiving_tds"))
-    return fill_missing(kept.withColumn(LABEL, label))
+    return fill_missing(kept.withColumn(LABEL, label), keys=PLAYER_WEEK)
 
 
 def team_games(players: DataFrame, team: str, *tables: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def team_games(players: DataFrame, team: str, *tables: DataFrame) -> DataFrame:
     games = players.select(*keys).where(F.col(team).isNotNull()).distinct()
     for table in tables:
         games = games.join(table, keys, "left")
-    return fill_missing(games)
+    return fill_missing(games, keys=keys)
 
 
 def join_players(players: DataFrame, usage: DataFrame, shares: Sequence[str]) -> DataFrame:

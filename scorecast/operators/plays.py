@@ -164,7 +164,7 @@ def allowed_by_position(plays: DataFrame, positions: DataFrame) -> DataFrame:
         )
     )
     per_scorer = (
-        plays.where(rushing | passing)
+        plays.where((F.col("rush_touchdown") == 1) | (F.col("pass_touchdown") == 1))
         .where(_present(*DEFENCE_WEEK))
         .select(*DEFENCE_WEEK, scores.alias("score"))
         .select(*DEFENCE_WEEK, "score.*")

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorecast.functions.columns import steps_reached
+
 # Result column -> (source column, how many earlier rows).
 Means = Mapping[str, tuple[str, int]]
 
@@ -66,6 +68,15 @@ def lagged_means_in_blocks(
     )
 
 
+def stretches(df: DataFrame, column: str, n: int) -> Column:
+    """Up to n consecutive ranges of a numeric column with about equally many rows each, for use as a block.
+
+    The driver reads the n - 1 cut points, nothing else.
+    """
+    found = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], F.lit(100 * n)).alias("cuts")).first()
+    return steps_reached(F.col(column), sorted(set(found["cuts"] or [])))
+
+
 def recent_means(df: DataFrame, keys: Sequence[str], order: Sequence[str], means: Means) -> DataFrame:
     """Mean of the last n rows of each key: the lagged mean its next row would get."""
     longest = max(n for _, n in means.values())
