@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from scorecast.functions.columns import fill_missing
 from scorecast.operators import features as ft
+from scorecast.operators.market import require_coverage
 from scorecast.operators.plays import ZONES, allowed_by_position, allowed_by_team, drive_conversion, usage_share
 from scorecast.operators.windows import lagged_means
 from scorecast.sources.store import save
+from scorecast.sources.tables import require_unique
 
 SHARES = [f"{zone}_{kind}_share" for zone in ZONES for kind in ("carry", "target")]
 
@@ -41,8 +43,12 @@ class Histories:
     defences: DataFrame
 
 
-def build_histories(inputs: Inputs) -> Histories:
-    """Three stored tables: player weeks with usage, and the games of offences and of defences."""
+def build_histories(inputs: Inputs, check: bool = False) -> Histories:
+    """Three stored tables: player weeks with usage, and the games of offences and of defences.
+
+    ``check`` fails on repeated keys, which would multiply rows or counts, and
+    on teams that have no lines at all, whose totals would silently be 0.
+    """
     labelled = ft.label_weekly(inputs.weekly)
     players = save(ft.join_players(labelled, usage_share(inputs.plays), SHARES), "players")
     offences = ft.team_games(players, "recent_team", drive_conversion(inputs.plays), ft.lines_by_team(inputs.lines))
@@ -52,7 +58,14 @@ def build_histories(inputs: Inputs) -> Histories:
         allowed_by_team(inputs.plays),
         allowed_by_position(inputs.plays, inputs.positions),
     )
-    return Histories(players, save(offences, "offences"), save(defences, "defences"))
+    histories = Histories(players, save(offences, "offences"), save(defences, "defences"))
+    if check:
+        keys = [key for key in ("player_id", "season") if key in inputs.positions.columns]
+        require_unique(inputs.positions, keys, "positions")
+        require_unique(histories.players, ft.PLAYER_WEEK, "weekly rows")
+        require_unique(histories.offences, ["recent_team", "season", "week"], "lines")
+        require_coverage(histories.offences, "recent_team", inputs.lines, "team")
+    return histories
 
 
 def raw_features(histories: Histories) -> DataFrame:
