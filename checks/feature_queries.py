@@ -140,12 +140,14 @@ def lagged_mean_entity_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def lagged_mean_team_game(spark: SparkSession, sf_dir: str) -> DataFrame:
-    histories = plan.build_histories(inputs(spark, sf_dir))
-    order = ["season", "week"]
-    defences = lagged_means(histories.defences, ["opponent_team"], order, ft.DEFENCE_MEANS).select(
+    given, order = inputs(spark, sf_dir), ["season", "week"]
+    # Means of teams need the calendar of their games, not the players.
+    games = ft.label_weekly(given.weekly).select("recent_team", "opponent_team", *order).distinct()
+    games = save(games, "games")
+    defences = lagged_means(plan.defence_history(games, given), ["opponent_team"], order, ft.DEFENCE_MEANS).select(
         F.lit("defence").alias("side"), F.col("opponent_team").alias("team"), *order, *ft.DEFENCE_MEANS
     )
-    offences = lagged_means(histories.offences, ["recent_team"], order, ft.OFFENCE_MEANS).select(
+    offences = lagged_means(plan.offence_history(games, given), ["recent_team"], order, ft.OFFENCE_MEANS).select(
         F.lit("offence").alias("side"), F.col("recent_team").alias("team"), *order, *ft.OFFENCE_MEANS
     )
     return defences.unionByName(offences, allowMissingColumns=True)
@@ -164,11 +166,12 @@ def lagged_mean_team_game(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lagged_mean_rowwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Team means over player rows instead of games; a team may have any number of them, so they run in blocks."""
-    histories = plan.build_histories(inputs(spark, sf_dir))
-    rows = ft.join_teams(histories.players, histories.defences).select(
+    given = inputs(spark, sf_dir)
+    players = save(ft.label_weekly(given.weekly).select(*ft.PLAYER_WEEK, "opponent_team"), "player-weeks")
+    rows = ft.join_teams(players, plan.defence_history(players, given)).select(
         *ft.PLAYER_WEEK,
         "opponent_team",
-        stretches(histories.players, "player_id", 16).alias("id_range"),
+        stretches(players, "player_id", 16).alias("id_range"),
         *[source for source, _ in ft.DEFENCE_MEANS.values()],
     )
     return lagged_means_in_blocks(
@@ -200,8 +203,9 @@ _INTERACTION = """
     ),
 )
 def matchup_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    histories = plan.build_histories(inputs(spark, sf_dir))
-    rows = ft.join_teams(histories.players, histories.defences)
+    given = inputs(spark, sf_dir)
+    players = plan.player_history(given)
+    rows = ft.join_teams(players, plan.defence_history(players, given))
     return rows.select(*ft.PLAYER_WEEK, "position", ft.matchup_interaction("").alias("interaction"))
 
 

@@ -159,7 +159,7 @@ GBT_PARAMS = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.1}
 def _stored_features(histories: Histories) -> DataFrame:
     """Features with codes of the seasons before the coming one, as a table with one folder per season."""
     table = features_from(histories, opponent_codes(histories, SEASON))
-    return save(table.select(*ft.PLAYER_WEEK, ft.LABEL, *ft.FEATURES), "features", partition_by="season")
+    return save(table.select(*ft.PLAYER_WEEK, ft.LABEL, *ft.FEATURES), "features", partition_by="season", rebalance=True)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,13 +272,13 @@ SQL["prices"] = """
 """
 
 SQL["best_prices"] = """
-  SELECT merge_name, max(price) AS price, min(prob) AS market_implied_prob, count(*) AS n_prices
+  SELECT merge_name, price, n_prices,
+         CASE WHEN price > 0 THEN 100.0 / (price + 100) WHEN price < 0 THEN abs(price) / (abs(price) + 100.0)
+              ELSE 0 END AS market_implied_prob
   FROM (SELECT trim(regexp_replace(regexp_replace(lower(description), '[^a-z0-9\\s]', '', 'g'),
-                                   '\\s(jr|sr|ii|iii|iv)$', '')) AS merge_name, price,
-               CASE WHEN price > 0 THEN 100.0 / (price + 100) WHEN price < 0 THEN abs(price) / (abs(price) + 100.0)
-                    ELSE 0 END AS prob
-        FROM prices)
-  GROUP BY merge_name
+                                   '\\s(jr|sr|ii|iii|iv)$', '')) AS merge_name,
+               coalesce(max(price) FILTER (WHERE price <> 0), max(price)) AS price, count(*) AS n_prices
+        FROM prices GROUP BY ALL)
 """
 
 

@@ -131,20 +131,26 @@ def price_table(prices: DataFrame) -> DataFrame:
 
 
 def best_prices(prices: DataFrame) -> DataFrame:
-    """One row per name: its longest price, and how many prices it had.
+    """One row per name: its longest price, what that implies, and how many prices the name had.
 
     A name with several prices must not multiply the predictions it meets;
-    ``duplicate_keys`` on the price table lists such names.
+    ``duplicate_keys`` on the price table lists such names. A price of 0
+    counts only where there is no other. Prices are reduced per spelling
+    first, so that names are normalised once per spelling and not per price.
     """
+    price = F.col("price")
+    spelled = prices.groupBy("description").agg(
+        F.max(F.when(price != 0, price)).alias("offered"),
+        F.max("price").alias("any"),
+        F.count("price").alias("n"),
+    )
+    best = F.coalesce(F.max("offered"), F.max("any"))
     return (
-        price_table(prices)
-        .where("merge_name IS NOT NULL")
+        spelled.withColumn("merge_name", name_key(F.col("description")))
+        .where(F.col("merge_name").isNotNull())
         .groupBy("merge_name")
-        .agg(
-            F.max("price").alias("price"),
-            F.min("market_implied_prob").alias("market_implied_prob"),
-            F.count("price").alias("n_prices"),
-        )
+        .agg(best.alias("price"), F.sum("n").alias("n_prices"))
+        .withColumn("market_implied_prob", american_to_probability(F.col("price")))
     )
 
 

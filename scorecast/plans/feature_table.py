@@ -43,22 +43,34 @@ class Histories:
     defences: DataFrame
 
 
-def build_histories(inputs: Inputs, check: bool = False) -> Histories:
-    """Three stored tables: player weeks with usage, and the games of offences and of defences.
-
-    ``check`` fails on repeated keys, which would multiply rows or counts, and
-    on teams that have no lines at all, whose totals would silently be 0.
-    """
+def player_history(inputs: Inputs) -> DataFrame:
     labelled = ft.label_weekly(inputs.weekly)
-    players = save(ft.join_players(labelled, usage_share(inputs.plays), SHARES), "players")
-    offences = ft.team_games(players, "recent_team", drive_conversion(inputs.plays), ft.lines_by_team(inputs.lines))
-    defences = ft.team_games(
+    return save(ft.join_players(labelled, usage_share(inputs.plays), SHARES), "players")
+
+
+def offence_history(players: DataFrame, inputs: Inputs) -> DataFrame:
+    games = ft.team_games(players, "recent_team", drive_conversion(inputs.plays), ft.lines_by_team(inputs.lines))
+    return save(games, "offences")
+
+
+def defence_history(players: DataFrame, inputs: Inputs) -> DataFrame:
+    games = ft.team_games(
         players,
         "opponent_team",
         allowed_by_team(inputs.plays),
         allowed_by_position(inputs.plays, inputs.positions),
     )
-    histories = Histories(players, save(offences, "offences"), save(defences, "defences"))
+    return save(games, "defences")
+
+
+def build_histories(inputs: Inputs, check: bool = False) -> Histories:
+    """Three stored tables: player weeks with usage, and the games of offences and of defences.
+
+    ``check`` fails on repeated keys, which would multiply rows or counts, and
+    on teams that have no lines at all, whose totals would silently be 0.
+    """
+    players = player_history(inputs)
+    histories = Histories(players, offence_history(players, inputs), defence_history(players, inputs))
     if check:
         keys = [key for key in ("player_id", "season") if key in inputs.positions.columns]
         require_unique(inputs.positions, keys, "positions")

@@ -75,7 +75,7 @@ def run(spark: SparkSession, paths: Paths, settings: Settings, output: str) -> R
     """
     inputs, ids = read_inputs(spark, paths, settings.seasons)
     histories = build_histories(inputs, check=True)
-    lagged = save(lagged_features(histories), "features", partition_by="season")
+    lagged = save(lagged_features(histories), "features", partition_by="season", rebalance=True)
 
     known = encode(lagged, opponent_codes(histories, settings.validation_season))
     backtests = {

@@ -17,6 +17,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even if a later step has to shuffle again.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Write a few partitions per task side by side instead of sorting the rows by partition first.
+    "spark.sql.maxConcurrentOutputFileWriters": "32",
 }
 
 

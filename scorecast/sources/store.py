@@ -2,7 +2,8 @@
 
 Writing a table once cuts the lineage, survives lost executors and gives the
 optimiser the true file size, so that it broadcasts the table in later joins
-only while it stays under spark.sql.autoBroadcastJoinThreshold.
+only while it stays under spark.sql.autoBroadcastJoinThreshold. The tables of
+an application lie in one folder named after it, to be removed after the run.
 """
 
 from __future__ import annotations
@@ -17,21 +18,23 @@ from scorecast.session import shared_folder
 
 
 def _new_path(df: DataFrame, name: str) -> str:
-    return f"{shared_folder(df.sparkSession)}/scorecast/{name}-{uuid4().hex}"
+    spark = df.sparkSession
+    return f"{shared_folder(spark)}/scorecast/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def save(df: DataFrame, name: str, partition_by: str | None = None, rebalance: bool = False) -> DataFrame:
     """Write ``df`` and read it back.
 
-    With ``partition_by``, rows are first rebalanced on that column: a value
-    that holds much of the data is split over several files, and rare values
-    do not scatter into one small file per task.
+    ``rebalance`` shuffles the rows once to even out the files of each
+    partition: a value that holds much of the data is split over several, and
+    rare values do not leave one small file per task. It pays for tables that
+    are read many times, not for the largest ones.
     """
     path = _new_path(df, name)
-    if partition_by:
-        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
-    else:
-        df.write.parquet(path)
+    if partition_by and rebalance:
+        df = df.hint("rebalance", partition_by)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -95,6 +95,9 @@ PRICES = [
     ("Ja'Marr Chase", -125),
     ("Nobody Known", 500),
     ("Even Money", 0),
+    ("Half Priced", 0),
+    ("Half Priced", -150),
+    ("half priced", None),
 ]
 
 
@@ -103,8 +106,12 @@ def test_best_price_and_repeated_names(spark):
     best = records(ops.best_prices(prices), "merge_name")
     assert best["marvin harrison"]["price"] == 200 and best["marvin harrison"]["n_prices"] == 2
     assert best["marvin harrison"]["market_implied_prob"] == pytest.approx(1 / 3)
+    # A price of 0 gives way to a real one, and the probability is that of the price shown.
+    assert best["half priced"]["price"] == -150 and best["half priced"]["n_prices"] == 2
+    assert best["half priced"]["market_implied_prob"] == pytest.approx(0.6)
+    assert best["even money"]["price"] == 0 and best["even money"]["market_implied_prob"] == 0.0
     repeated = duplicate_keys(ops.price_table(prices), ["merge_name"]).collect()
-    assert [tuple(r) for r in repeated] == [("marvin harrison", 2)]
+    assert sorted(tuple(r) for r in repeated) == [("half priced", 3), ("marvin harrison", 2)]
 
 
 def test_edges_keep_one_row_per_prediction(spark):
