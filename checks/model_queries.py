@@ -189,7 +189,7 @@ def stack_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = _stored_features(histories).where(F.col("season") < SEASON)
     fitted = stack(history, {"rf": RF_PARAMS, "gbt": GBT_PARAMS}, n_folds=3)
     coming = assemble(frame(spark, sf_dir, histories), ft.FEATURES)
-    return score_week(coming, fitted.score, views.prices(spark, sf_dir))
+    return score_week(coming, fitted.score, views.prices(spark, sf_dir), min_usage=False)
 
 
 @register("random_search")

@@ -38,11 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise NoSharedFolderError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="scorecast-")
-        spark.conf.set("spark.checkpoint.dir", folder)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+        if not folder and not context.master.startswith("local"):
+            raise NoSharedFolderError("set spark.checkpoint.dir to a folder that every executor can reach")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scorecast-"))
+    return (folder or context.getCheckpointDir()).rstrip("/")
