@@ -180,7 +180,8 @@ _INTERACTION = """
                 WHEN 'QB' THEN avg_redzone_carry_share * avg_rushing_tds_allowed_to_QB ELSE 0 END
 """
 _FRAME_VIEWS = (
-    f"{views.MODEL_INPUTS} latest_rosters schedule week_pairs playing player_means offence_means defence_means frame codes"
+    f"{views.MODEL_INPUTS} latest_rosters schedule week_pairs playing player_means offence_means defence_means"
+    " frame codes"
 )
 _FRAME_SQL = f"""
   SELECT player_id, player_name, position, team, opponent_team,

@@ -144,10 +144,10 @@ def lagged_mean_team_game(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Means of teams need the calendar of their games, not the players.
     games = ft.label_weekly(given.weekly).select("recent_team", "opponent_team", *order).distinct()
     games = save(games, "games")
-    defences = lagged_means(plan.defence_history(games, given), ["opponent_team"], order, ft.DEFENCE_MEANS).select(
+    defences = lagged_means(plan.defence_games(games, given), ["opponent_team"], order, ft.DEFENCE_MEANS).select(
         F.lit("defence").alias("side"), F.col("opponent_team").alias("team"), *order, *ft.DEFENCE_MEANS
     )
-    offences = lagged_means(plan.offence_history(games, given), ["recent_team"], order, ft.OFFENCE_MEANS).select(
+    offences = lagged_means(plan.offence_games(games, given), ["recent_team"], order, ft.OFFENCE_MEANS).select(
         F.lit("offence").alias("side"), F.col("recent_team").alias("team"), *order, *ft.OFFENCE_MEANS
     )
     return defences.unionByName(offences, allowMissingColumns=True)
@@ -168,7 +168,7 @@ def lagged_mean_rowwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Team means over player rows instead of games; a team may have any number of them, so they run in blocks."""
     given = inputs(spark, sf_dir)
     players = save(ft.label_weekly(given.weekly).select(*ft.PLAYER_WEEK, "opponent_team"), "player-weeks")
-    rows = ft.join_teams(players, plan.defence_history(players, given)).select(
+    rows = ft.join_teams(players, save(plan.defence_games(players, given), "defences")).select(
         *ft.PLAYER_WEEK,
         "opponent_team",
         stretches(players, "player_id", 16).alias("id_range"),
@@ -205,7 +205,7 @@ _INTERACTION = """
 def matchup_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = inputs(spark, sf_dir)
     players = plan.player_history(given)
-    rows = ft.join_teams(players, plan.defence_history(players, given))
+    rows = ft.join_teams(players, save(plan.defence_games(players, given), "defences"))
     return rows.select(*ft.PLAYER_WEEK, "position", ft.matchup_interaction("").alias("interaction"))
 
 

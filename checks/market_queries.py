@@ -20,7 +20,10 @@ SEASONS = list(range(1995, 2002))
 
 @register(
     "coerce_numbers",
-    views.with_sql("paired_orders odds odds_numbers", "SELECT * REPLACE (CAST(schedule_playoff AS BIGINT) AS schedule_playoff) FROM odds_numbers"),
+    views.with_sql(
+        "paired_orders odds odds_numbers",
+        "SELECT * REPLACE (CAST(schedule_playoff AS BIGINT) AS schedule_playoff) FROM odds_numbers",
+    ),
 )
 def coerce_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.coerce_odds(views.odds(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views
-from checks.asof_queries import SEASON, WEEK, frame
+from checks.asof_queries import SEASON, frame
 from checks.feature_queries import inputs
 from checks.registry import register
 from scorecast.operators import evaluate as ev
@@ -21,7 +21,7 @@ from scorecast.operators.models import (
     with_probability,
 )
 from scorecast.operators.search import prepare, random_search
-from scorecast.plans.backtest import stack
+from scorecast.plans.backtest import stack, tune
 from scorecast.plans.feature_table import Histories, build_histories, features_from, opponent_codes
 from scorecast.plans.week_scores import PROBABILITY, score_week
 from scorecast.sources.store import save
@@ -159,7 +159,8 @@ GBT_PARAMS = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.1}
 def _stored_features(histories: Histories) -> DataFrame:
     """Features with codes of the seasons before the coming one, as a table with one folder per season."""
     table = features_from(histories, opponent_codes(histories, SEASON))
-    return save(table.select(*ft.PLAYER_WEEK, ft.LABEL, *ft.FEATURES), "features", partition_by="season", rebalance=True)
+    table = table.select(*ft.PLAYER_WEEK, ft.LABEL, *ft.FEATURES)
+    return save(table, "features", partition_by="season", rebalance=True)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,3 +205,11 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = season_split(assemble(features(spark, sf_dir), ft.FEATURES), SEASON)
     return importances(spark, RANDOM_FOREST.fit(train, ft.LABEL, RF_PARAMS), ft.FEATURES).limit(20)
+
+
+@register("backtest_report")
+def backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search on the seasons before one, choose a threshold on their last fold, report on that season."""
+    grid = {"numTrees": [10], "maxDepth": [3, 5]}
+    found = tune(features(spark, sf_dir), SEASON, RANDOM_FOREST, draws=2, n_splits=2, grid=grid)
+    return found.evaluation.report

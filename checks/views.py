@@ -329,7 +329,8 @@ def weekly(
 SQL["weekly"] = """
   SELECT s.*, player_name AS player_display_name, position, targets / n_plays AS target_share,
          targets / n_plays * 1.5 + receiving_yards / yards * 0.7 AS wopr
-  FROM (SELECT player_id, posteam AS recent_team, season, week, CAST(min(CAST(defteam AS INTEGER)) AS VARCHAR) AS opponent_team,
+  FROM (SELECT player_id, posteam AS recent_team, season, week,
+               CAST(min(CAST(defteam AS INTEGER)) AS VARCHAR) AS opponent_team,
                CAST(sum(rush_attempt) AS DOUBLE) AS carries, sum(yardline_100 * rush_attempt) AS rushing_yards,
                CAST(sum(CASE WHEN rush_attempt = 1 THEN rush_touchdown END) AS DOUBLE) AS rushing_tds,
                CAST(sum(CASE WHEN epa >= 0 THEN pass_attempt ELSE 0.0 END) AS DOUBLE) AS receptions,

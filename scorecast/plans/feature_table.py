@@ -13,7 +13,7 @@ from scorecast.operators import features as ft
 from scorecast.operators.market import require_coverage
 from scorecast.operators.plays import ZONES, allowed_by_position, allowed_by_team, drive_conversion, usage_share
 from scorecast.operators.windows import lagged_means
-from scorecast.sources.store import save
+from scorecast.sources.store import save, save_together
 from scorecast.sources.tables import require_unique
 
 SHARES = [f"{zone}_{kind}_share" for zone in ZONES for kind in ("carry", "target")]
@@ -48,19 +48,17 @@ def player_history(inputs: Inputs) -> DataFrame:
     return save(ft.join_players(labelled, usage_share(inputs.plays), SHARES), "players")
 
 
-def offence_history(players: DataFrame, inputs: Inputs) -> DataFrame:
-    games = ft.team_games(players, "recent_team", drive_conversion(inputs.plays), ft.lines_by_team(inputs.lines))
-    return save(games, "offences")
+def offence_games(players: DataFrame, inputs: Inputs) -> DataFrame:
+    return ft.team_games(players, "recent_team", drive_conversion(inputs.plays), ft.lines_by_team(inputs.lines))
 
 
-def defence_history(players: DataFrame, inputs: Inputs) -> DataFrame:
-    games = ft.team_games(
+def defence_games(players: DataFrame, inputs: Inputs) -> DataFrame:
+    return ft.team_games(
         players,
         "opponent_team",
         allowed_by_team(inputs.plays),
         allowed_by_position(inputs.plays, inputs.positions),
     )
-    return save(games, "defences")
 
 
 def build_histories(inputs: Inputs, check: bool = False) -> Histories:
@@ -70,7 +68,10 @@ def build_histories(inputs: Inputs, check: bool = False) -> Histories:
     on teams that have no lines at all, whose totals would silently be 0.
     """
     players = player_history(inputs)
-    histories = Histories(players, offence_history(players, inputs), defence_history(players, inputs))
+    offences, defences = save_together(
+        {"offences": offence_games(players, inputs), "defences": defence_games(players, inputs)}
+    )
+    histories = Histories(players, offences, defences)
     if check:
         keys = [key for key in ("player_id", "season") if key in inputs.positions.columns]
         require_unique(inputs.positions, keys, "positions")
@@ -92,8 +93,12 @@ def lagged_features(histories: Histories) -> DataFrame:
     their own game never enters it; they are then looked up by each player.
     """
     order = ["season", "week"]
-    defences = save(lagged_means(histories.defences, ["opponent_team"], order, ft.DEFENCE_MEANS), "defence_means")
-    offences = save(lagged_means(histories.offences, ["recent_team"], order, ft.OFFENCE_MEANS), "offence_means")
+    defences, offences = save_together(
+        {
+            "defence-means": lagged_means(histories.defences, ["opponent_team"], order, ft.DEFENCE_MEANS),
+            "offence-means": lagged_means(histories.offences, ["recent_team"], order, ft.OFFENCE_MEANS),
+        }
+    )
     players = lagged_means(histories.players, ["player_id"], ft.PLAYER_ORDER, ft.PLAYER_MEANS)
     joined = ft.join_teams(fill_missing(players, list(ft.PLAYER_MEANS)), defences, offences)
     return joined.withColumn("positional_matchup_interaction", ft.matchup_interaction())

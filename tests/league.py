@@ -39,8 +39,16 @@ def build():
                 spread = -rng.choice([1.5, 3.0, 6.5])
                 favourite = rng.choice([home, away, "PICK"])
                 odds.append(
-                    (str(season), str(week), NAMES[home], NAMES[away], DIMENSION_IDS.get(favourite, favourite),
-                     str(spread), str(rng.randint(38, 52)), "FALSE")
+                    (
+                        str(season),
+                        str(week),
+                        NAMES[home],
+                        NAMES[away],
+                        DIMENSION_IDS.get(favourite, favourite),
+                        str(spread),
+                        str(rng.randint(38, 52)),
+                        "FALSE",
+                    )
                 )
                 for team, other in ((home, away), (away, home)):
                     for player_id, name, position, its_team, habit in players():
@@ -52,16 +60,45 @@ def build():
                         for i in range(touches):
                             td = 1.0 if scored and i == 0 else 0.0
                             plays.append(
-                                (season, week, team, other, float(rng.randint(1, 9)), float(rng.randint(1, 60) if not td else 3),
-                                 float(runs), float(not runs), player_id if runs else None, None if runs else player_id,
-                                 td, td * runs, td * (not runs), rng.uniform(-1, 1))
+                                (
+                                    season,
+                                    week,
+                                    team,
+                                    other,
+                                    float(rng.randint(1, 9)),
+                                    3.0 if td else float(rng.randint(1, 60)),
+                                    float(runs),
+                                    float(not runs),
+                                    player_id if runs else None,
+                                    None if runs else player_id,
+                                    td,
+                                    td * runs,
+                                    td * (not runs),
+                                    rng.uniform(-1, 1),
+                                )
                             )
                         yards = touches * 4.0
                         weekly.append(
-                            (player_id, name, position, team, other, season, week,
-                             float(touches) if runs else 0.0, yards if runs else 0.0, (1.0 if scored else 0.0) if runs else None,
-                             0.0 if runs else float(touches), 0.0 if runs else touches + 1.0, 0.0 if runs else yards,
-                             None if runs else (1.0 if scored else 0.0), 0.1 * touches, 0.5, float("nan"), 0.02 * touches)
+                            (
+                                player_id,
+                                name,
+                                position,
+                                team,
+                                other,
+                                season,
+                                week,
+                                float(touches) if runs else 0.0,
+                                yards if runs else 0.0,
+                                float(scored) if runs else None,
+                                0.0 if runs else float(touches),
+                                0.0 if runs else touches + 1.0,
+                                0.0 if runs else yards,
+                                None if runs else float(scored),
+                                0.1 * touches,
+                                0.5,
+                                float("nan"),
+                                0.02 * touches,
+                            )
                         )
     schedule += [(2025, 1, "AAA", "LA"), (2025, 1, "LV", "BBB"), (2025, 2, "AAA", "LV")]
     rosters = [(p, n, pos, t, s) for s in [*SEASONS, 2025] for p, n, pos, t, _ in players()]

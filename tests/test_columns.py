@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +96,20 @@ def test_fill_leaves_text_and_keys(spark):
 def test_ensure_columns(spark):
     df = spark.createDataFrame([(1,)], "a int")
     assert fn.ensure_columns(df, ["a", "b"]).first().asDict() == {"a": 1, "b": 0.0}
+
+
+def test_name_keys_agree_with_plain_regular_expressions(spark):
+    rng = random.Random(5)
+    pieces = ["De'Von", "A.J.", "St. Brown", "Smith-Njigba", "Jr", "jr.", "Sr.", "II", "III", "IV", "V"]
+    pieces += ["  ", "O’Neal", "X2", "é", "\t"]
+    names = sorted({" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 4))) for _ in range(500)})
+    for name, key in values(spark, "n string", [(n,) for n in names], "n", fn.name_key(F.col("n"))):
+        kept = re.sub(r"[^a-z0-9\s]", "", name.lower())
+        assert key == re.sub(r"\s(jr|sr|ii|iii|iv)$", "", kept).strip(), name
+
+
+def test_probabilities_of_all_prices(spark):
+    got = values(spark, "p int", [(p,) for p in range(-2000, 2001)], "p", fn.american_to_probability(F.col("p")))
+    for price, probability in got:
+        want = 0.0 if price == 0 else 100 / (price + 100) if price > 0 else -price / (100 - price)
+        assert probability == pytest.approx(want) and 0.0 <= probability < 1.0

@@ -62,7 +62,7 @@ def paths(spark, tmp_path_factory):
     return season_run.Paths(
         weekly=parquet("weekly", made["weekly"], weekly, schemas.WEEKLY),
         plays=parquet("plays", made["plays"], plays, schemas.PLAYS),
-        rosters=parquet("rosters", made["rosters"], "player_id player_name position team season".split(), schemas.ROSTERS),
+        rosters=parquet("rosters", made["rosters"], schemas.ROSTERS.names, schemas.ROSTERS),
         schedule=parquet("schedule", made["schedule"], "season week home_team away_team".split(), schemas.SCHEDULE),
         historical_odds=write_text(
             folder / "odds.csv",
