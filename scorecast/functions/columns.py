@@ -96,6 +96,14 @@ def steps_reached(value: Column, steps: Sequence[float]) -> Column:
     return between(0, len(steps))
 
 
+def present(*names: str) -> Column:
+    """True where none of the columns is missing."""
+    condition = F.lit(True)
+    for name in names:
+        condition = condition & F.col(name).isNotNull()
+    return condition
+
+
 def fill_missing(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """0 for missing numbers, in ``columns`` or everywhere but in ``keys``; text is left alone.
 

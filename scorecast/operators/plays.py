@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorecast.functions.columns import amount, fill_missing, is_one, rate, share, total
+from scorecast.functions.columns import amount, fill_missing, is_one, present, rate, share, total
 from scorecast.sources.store import save_split
 
 # Zones in yards from the goal line, and the positions in play.
@@ -30,13 +30,6 @@ ALLOWED_BY_POSITION = [
 ]
 
 
-def _present(*keys: str) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).isNotNull()
-    return condition
-
-
 def usage_share(plays: DataFrame, zones: Mapping[str, int] = ZONES) -> DataFrame:
     """Each player's part of the team's rushes and targets inside every zone.
 
@@ -45,7 +38,7 @@ def usage_share(plays: DataFrame, zones: Mapping[str, int] = ZONES) -> DataFrame
     zones are summed in one scan and one shuffle. The summed table is written
     out, so that the team totals join back without reading the plays again.
     """
-    inside = plays.where(F.col("yardline_100") <= max(zones.values())).where(_present(*TEAM_WEEK))
+    inside = plays.where(F.col("yardline_100") <= max(zones.values())).where(present(*TEAM_WEEK))
     nothing = F.lit(0.0)
     rush, target = amount(F.col("rush_attempt")), amount(F.col("pass_attempt"))
     no_player = F.lit(None).cast(plays.schema["rusher_player_id"].dataType)
@@ -100,7 +93,7 @@ def drive_conversion(plays: DataFrame, zone: int = ZONES["redzone"]) -> DataFram
     """
     drives = (
         plays.where(F.col("yardline_100") <= zone)
-        .where(_present(*TEAM_WEEK, "drive"))
+        .where(present(*TEAM_WEEK, "drive"))
         .groupBy(*TEAM_WEEK, "drive")
         .agg(F.max(is_one(F.col("touchdown")).cast("int")).alias("is_td"))
     )
@@ -121,7 +114,7 @@ def drive_conversion(plays: DataFrame, zone: int = ZONES["redzone"]) -> DataFram
 def allowed_by_team(plays: DataFrame) -> DataFrame:
     """Touchdowns and expected points a defence gives up per week."""
     return (
-        plays.where(_present("posteam", *DEFENCE_WEEK))
+        plays.where(present("posteam", *DEFENCE_WEEK))
         .groupBy(*DEFENCE_WEEK)
         .agg(
             total(F.col("pass_touchdown")).alias("passing_tds_allowed"),
@@ -142,7 +135,7 @@ def roster_positions(
     """
     order = F.struct(*latest_by, "position")
     return (
-        rosters.where(_present(*keys, "position"))
+        rosters.where(present(*keys, "position"))
         .groupBy(*keys)
         .agg(F.max_by("position", order).alias("position"))
     )
@@ -165,7 +158,7 @@ def allowed_by_position(plays: DataFrame, positions: DataFrame) -> DataFrame:
     )
     per_scorer = (
         plays.where((F.col("rush_touchdown") == 1) | (F.col("pass_touchdown") == 1))
-        .where(_present(*DEFENCE_WEEK))
+        .where(present(*DEFENCE_WEEK))
         .select(*DEFENCE_WEEK, scores.alias("score"))
         .select(*DEFENCE_WEEK, "score.*")
         .where(F.col("player_id").isNotNull())

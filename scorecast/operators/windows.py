@@ -6,15 +6,20 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from scorecast.functions.columns import steps_reached
+from scorecast.functions.columns import present, steps_reached
 
 # Result column -> (source column, how many earlier rows).
 Means = Mapping[str, tuple[str, int]]
 
 
-def _mean_columns(means: Means, window) -> list[Column]:
-    return [F.avg(source).over(window.rowsBetween(-n, -1)).alias(name) for name, (source, n) in means.items()]
+def _mean_columns(means: Means, window: WindowSpec, keys: Sequence[str]) -> list[Column]:
+    """The means; rows with a missing key belong to no group and get none."""
+    return [
+        F.when(present(*keys), F.avg(source).over(window.rowsBetween(-n, -1))).alias(name)
+        for name, (source, n) in means.items()
+    ]
 
 
 def lagged_means(df: DataFrame, keys: Sequence[str], order: Sequence[str], means: Means) -> DataFrame:
@@ -24,9 +29,12 @@ def lagged_means(df: DataFrame, keys: Sequence[str], order: Sequence[str], means
     so use it at a grain that bounds them: a player or team has one row per
     team and week, whatever the number of plays behind it. ``order`` must be
     total within a key. Where a key's rows are unbounded, use
-    ``lagged_means_in_blocks``.
+    ``lagged_means_in_blocks``. Rows with a missing key are spread by a hash
+    of their order, so that they do not meet in one task.
     """
-    return df.select("*", *_mean_columns(means, Window.partitionBy(*keys).orderBy(*order)))
+    apart = F.when(~present(*keys), F.xxhash64(*order))
+    window = Window.partitionBy(*keys, apart).orderBy(*order)
+    return df.select("*", *_mean_columns(means, window, keys))
 
 
 def lagged_means_in_blocks(
@@ -48,7 +56,8 @@ def lagged_means_in_blocks(
     # before the shuffle too, so few rows move however many a block has.
     from_end = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in order])
     tails = (
-        df.select(*part, *sources, F.row_number().over(from_end).alias("_from_end"))
+        df.where(present(*keys))
+        .select(*part, *sources, F.row_number().over(from_end).alias("_from_end"))
         .where(F.col("_from_end") <= longest)
         .groupBy(*part)
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("_from_end")).alias("_place"), *sources))).alias("_tail"))
@@ -63,9 +72,7 @@ def lagged_means_in_blocks(
 
     together = df.withColumn("_rank", F.lit(longest)).unionByName(borrowed, allowMissingColumns=True)
     window = Window.partitionBy(*part).orderBy("_rank", *order)
-    return (
-        together.select("*", *_mean_columns(means, window)).where(F.col("_rank") == longest).drop("_rank")
-    )
+    return together.select("*", *_mean_columns(means, window, keys)).where(F.col("_rank") == longest).drop("_rank")
 
 
 def stretches(df: DataFrame, column: str, n: int) -> Column:
@@ -82,9 +89,8 @@ def recent_means(df: DataFrame, keys: Sequence[str], order: Sequence[str], means
     longest = max(n for _, n in means.values())
     sources = sorted({source for source, _ in means.values()})
     from_end = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    recent = df.select(*keys, *sources, F.row_number().over(from_end).alias("_from_end")).where(
-        F.col("_from_end") <= longest
-    )
+    ranked = df.where(present(*keys)).select(*keys, *sources, F.row_number().over(from_end).alias("_from_end"))
+    recent = ranked.where(F.col("_from_end") <= longest)
     return recent.groupBy(*keys).agg(
         *[F.avg(F.when(F.col("_from_end") <= n, F.col(source))).alias(name) for name, (source, n) in means.items()]
     )
@@ -93,13 +99,13 @@ def recent_means(df: DataFrame, keys: Sequence[str], order: Sequence[str], means
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key; rows are discarded before the shuffle as well."""
     from_end = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    ranked = df.withColumn("_from_end", F.row_number().over(from_end))
+    ranked = df.where(present(*keys)).withColumn("_from_end", F.row_number().over(from_end))
     return ranked.where(F.col("_from_end") == 1).drop("_from_end")
 
 
 def latest_present(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """The last value of each column that is not missing, per key."""
     place = F.struct(*order)
-    return df.groupBy(*keys).agg(
+    return df.where(present(*keys)).groupBy(*keys).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns]
     )

@@ -323,3 +323,15 @@ def test_whole_run(spark, paths, tmp_path):
     ]
     row = result.predictions.where("player_id = 'AAA-new'").first()
     assert row.price == 900 and row.model_edge == pytest.approx(row[PROBABILITY] - 0.1)
+
+
+def test_arguments_fit_the_settings():
+    from dataclasses import fields
+
+    from scorecast.__main__ import arguments
+
+    given = [f"--{f.name.replace('_', '-')}=x" for f in fields(season_run.Paths)]
+    given += ["--output=o", "--seasons", "2021", "2022", "--validation-season=2022", "--season=2023", "--week=1"]
+    parsed = vars(arguments().parse_args(given))
+    known = {f.name for f in fields(season_run.Paths)} | {f.name for f in fields(season_run.Settings)}
+    assert set(parsed) - known == {"output", "everyone"} and parsed["seasons"] == [2021, 2022]

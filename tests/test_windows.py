@@ -128,3 +128,14 @@ def test_latest_rows_and_latest_present(spark):
     present = records(latest_present(df, ["k"], ["season", "week"], ["a", "t"]), "k")
     assert (present["x"]["a"], present["x"]["t"]) == (1.0, "old")
     assert (present["y"]["a"], present["y"]["t"]) == (None, "only")
+
+
+def test_rows_without_a_key_form_no_group(spark):
+    rows = [(None, 1, week, week, float(week), 1.0) for week in range(1, 5)] + [("k", 1, 1, 9, 2.0, 1.0)]
+    df = save(spark.createDataFrame(rows, SCHEMA), "history")
+    order = ["season", "week", "id"]
+    for got in (lagged_means(df, ["k"], order, MEANS), lagged_means_in_blocks(df, ["k"], ["season"], order, MEANS)):
+        assert got.count() == 5 and got.where("avg_a IS NOT NULL").count() == 0
+    assert [r.k for r in recent_means(df, ["k"], order, MEANS).collect()] == ["k"]
+    assert [r.k for r in latest_rows(df, ["k"], order).collect()] == ["k"]
+    assert [r.k for r in latest_present(df, ["k"], order, ["a"]).collect()] == ["k"]
