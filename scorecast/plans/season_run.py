@@ -91,7 +91,7 @@ def run(spark: SparkSession, paths: Paths, settings: Settings, output: str) -> R
         for learner in (RANDOM_FOREST, BOOSTED_TREES)
     }
     params = {name: backtest.search.best_params for name, backtest in backtests.items()}
-    folds = {"n_folds": settings.n_folds, "fold_by": settings.fold_by}
+    folds = {"n_folds": settings.n_folds, "fold_by": settings.fold_by, "parallelism": settings.parallelism}
     _, stacked = evaluate_stack(known, settings.validation_season, params, **folds)
 
     codes = opponent_codes(histories)

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 from scorecast.errors import NoSharedFolderError
@@ -43,3 +47,13 @@ def shared_folder(spark: SparkSession) -> str:
             raise NoSharedFolderError("set spark.checkpoint.dir to a folder that every executor can reach")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scorecast-"))
     return (folder or context.getCheckpointDir()).rstrip("/")
+
+
+def side_by_side(spark: SparkSession, work: Callable[[Any], Any], items: Iterable[Any], threads: int = 4) -> list[Any]:
+    """``work`` on every item, results in order; the Spark jobs of a few items run at the same time.
+
+    The driver threads only submit jobs. What one job leaves idle, such as the
+    end of a stage or the next small tree, another one uses.
+    """
+    with ThreadPool(threads) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)

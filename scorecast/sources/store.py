@@ -9,15 +9,13 @@ an application lie in one folder named after it, to be removed after the run.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from multiprocessing.pool import ThreadPool
 from uuid import uuid4
 
-from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from scorecast.session import shared_folder
+from scorecast.session import shared_folder, side_by_side
 
 
 def _new_path(df: DataFrame, name: str) -> str:
@@ -44,9 +42,7 @@ def save(df: DataFrame, name: str, partition_by: str | None = None, rebalance: b
 def save_together(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
     """``save`` for tables that do not build on each other; their jobs run side by side and fill each other's gaps."""
     spark = next(iter(tables.values())).sparkSession
-    write = inheritable_thread_target(spark)(lambda item: save(item[1], item[0]))
-    with ThreadPool(len(tables)) as pool:
-        return pool.map(write, tables.items(), chunksize=1)
+    return side_by_side(spark, lambda item: save(item[1], item[0]), tables.items(), threads=len(tables))
 
 
 def save_split(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, DataFrame]:
