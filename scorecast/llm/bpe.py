@@ -3,7 +3,10 @@
 ``encode`` gives the ids that the tokenizers library gives for the whole
 text, ``decode`` its decoded text. The vocabulary's white space is a hard
 border: words between blanks are encoded one by one, and a cache keeps the
-ids of frequent words.
+ids of frequent words. Plain words (printable ASCII and precomposed Latin
+letters, which normalisation leaves alone) are put in lower case and split
+here, and only the merges are left to the library; other words go through all
+of it.
 
 A text longer than ``PIECE_CHARS`` is cut into pieces that different tasks
 encode. A cut is made at a blank where there is one; then nothing needs to be
@@ -28,7 +31,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -38,13 +40,25 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from scorecast.llm.common import fresh, key_runs
 
 PIECE_CHARS = 65_536
-CACHED_WORDS = 300_000
-CACHED_CHARS = 64
-_SAFE_BLANKS = str.maketrans("\n\t\r", "   ")
+CACHED_WORDS = 500_000
+CACHED_CHARS = 48
+OUT_ROWS = 256
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+"""The vocabulary's own pattern for words of such characters in lower case (fixed)."""
 _MARGIN = 8
 WINDOW = 8
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies use for bytes that do not print."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """The library's tokenizer for words, and its merges alone for parts of words."""
 
@@ -65,24 +79,51 @@ class Encoder:
         self.special_ids = {t["id"] for t in spec["added_tokens"]}
         self.ends_word = np.array([t.endswith(self.suffix) for t in self.tokens])
         self.ends_word[list(self.special_ids)] = True
+        self.many = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         self.cache: dict[str, bytes] = {}
         self.cached_words = cached_words
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        words = [text.translate(_SAFE_BLANKS).split(" ") for text in texts]
-        cache = self.cache
-        new = list({w for doc in words for w in doc if w not in cache})
+    def _merge_words(self, words: list[str]) -> None:
+        """Cache the ids of parts of plain words, which need only the merges; one call for all of them."""
+        letters = [w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
+        ids = np.array(self.many.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype=np.int32)
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        start = 0
+        for word, stop in zip(words, stops.tolist(), strict=True):
+            self.cache[word] = ids[start:stop].tobytes()
+            start = stop
+
+    def _learn(self, words: list[str]) -> None:
+        cache, split, parts, other = self.cache, {}, {}, []
+        for word in words:
+            if _PLAIN.fullmatch(word) and "<|" not in word:
+                split[word] = own = _PARTS.findall(word.lower())
+                parts.update((p, None) for p in own if p not in cache)
+            else:
+                other.append(word)
+        new = list(parts)
         for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
+            self._merge_words(new[start : start + 4096])
+        for word, own in split.items():
+            cache[word] = b"".join([cache[p] for p in own])
+        for start in range(0, len(other), 1024):
+            part = other[start : start + 1024]
             for word, encoding in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 cache[word] = np.array(encoding.ids, dtype=np.int32).tobytes()
-        out = [np.frombuffer(b"".join([cache[w] for w in doc]), dtype=np.int32) for doc in words]
-        if len(cache) > self.cached_words:
-            cache.clear()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        words = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        cache = self.cache
+        new = set().union(*words).difference(cache)
+        self._learn(list(new))
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, doc)), dtype=np.int32) for doc in words]
         for word in new:
             if len(word) > CACHED_CHARS:
-                cache.pop(word, None)
+                del cache[word]
+        if len(cache) > self.cached_words:  # words that come first are frequent ones
+            for word in list(cache)[self.cached_words // 2 :]:
+                del cache[word]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -171,17 +212,24 @@ def cut_points(text: str, piece_chars: int = PIECE_CHARS) -> list[tuple[int, boo
 _IDS = ArrayType(IntegerType())
 
 
-def _encode_short(text: Column, path: str) -> Column:
-    @F.pandas_udf(_IDS)
-    def encode_short(texts: pd.Series) -> pd.Series:
-        tool = encoder(path)
-        out: list[np.ndarray] = []
-        values = ["" if t is None else t for t in texts]
-        for start in range(0, len(values), 256):
-            out += tool.encode_all(values[start : start + 256])
-        return pd.Series(out, dtype=object)
+def _encoded(batches: Iterator[pa.RecordBatch], text: str, ids: str, path: str) -> Iterator[pa.RecordBatch]:
+    """The rows with a column of ids, in small batches: ids are as large as texts."""
+    tool = encoder(path)
+    for batch in batches:
+        for start in range(0, batch.num_rows, OUT_ROWS):
+            part = batch.slice(start, OUT_ROWS)
+            found = tool.encode_all(["" if t is None else t for t in part.column(text).to_pylist()])
+            yield part.append_column(ids, _lists(found))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int32), pa.int32()))
+
 
-    return encode_short(text)
+def _with_ids(df: DataFrame, text: str, ids: str, path: str) -> DataFrame:
+    schema = StructType([*df.schema.fields, StructField(ids, _IDS)])
+    return df.mapInArrow(lambda batches: _encoded(batches, text, ids, path), schema)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], piece_chars: int) -> Iterator[pa.RecordBatch]:
@@ -219,38 +267,33 @@ def encode(docs: DataFrame, path: str, ids: str = "ids", piece_chars: int = PIEC
     """``docs`` with the ids of its column ``text``."""
     names = [f"`{c}`" for c in docs.columns]
     is_long = F.char_length(F.coalesce("text", F.lit(""))) > piece_chars
-    short = docs.where(~is_long).select(*names, _encode_short(F.col("text"), path).alias(ids))
-    row = fresh(docs, "row")
+    short = _with_ids(docs.where(~is_long), "text", ids, path)
+    row, found = fresh(docs, "row"), fresh(docs, "found")
     # A long text is named by its place in the input; a task that is run again names it alike.
     long = docs.where(is_long).withColumn(row, F.monotonically_increasing_id())
     pieces = long.select(row, "text").mapInArrow(lambda b: _cut(b, piece_chars), "row long, piece long, joined boolean, part string")
-    encoded = pieces.repartition("row", "piece").select("row", "piece", "joined", _encode_short(F.col("part"), path).alias("ids"))
-    whole = encoded.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(
-        lambda b: _joined(b, path), StructType([*docs.sparkSession.createDataFrame([], "row long").schema.fields, StructField("ids", _IDS)])
-    )
-    right = whole.select(F.col("row").alias(f"{row}_right"), F.col("ids").alias(fresh(docs, "new_ids")))
-    both = long.join(right, long[row] == right[f"{row}_right"]).select(*names, F.col(right.columns[1]).alias(ids))
+    encoded = _with_ids(pieces.repartition("row", "piece"), "part", "ids", path).drop("part")
+    whole = encoded.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(lambda b: _joined(b, path), "row long, ids array<int>")
+    right = whole.select(F.col("row").alias(f"{row}_right"), F.col("ids").alias(found))
+    both = long.join(right, long[row] == right[f"{row}_right"]).select(*names, F.col(found).alias(ids))
     return short.union(both)
 
 
-def decode(ids: Column, path: str) -> Column:
-    """The text that the library decodes from an array of ids."""
-
-    @F.pandas_udf(StringType())
-    def decoded(rows: pd.Series) -> pd.Series:
-        tool = encoder(path)
-        return pd.Series(["" if r is None else tool.decode(np.asarray(r)) for r in rows], dtype=object)
-
-    return decoded(ids)
-
+def _decoded(batches: Iterator[pa.RecordBatch], ids: str, text: str, path: str) -> Iterator[pa.RecordBatch]:
+    tool = encoder(path)
+    for batch in batches:
+        for start in range(0, batch.num_rows, OUT_ROWS):
+            part = batch.slice(start, OUT_ROWS)
+            rows = (v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.zeros(0, dtype=np.int32) for v in part.column(ids))
+            yield part.append_column(text, pa.array([tool.decode(r) for r in rows], pa.string()))
 
-def ids_digest(ids: Column) -> Column:
-    """sha256 of the decimal ids joined by a blank."""
 
-    @F.pandas_udf(StringType())
-    def digest(rows: pd.Series) -> pd.Series:
-        import hashlib
+def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``encoded`` with the text that the library decodes from each row's ids."""
+    schema = StructType([*encoded.schema.fields, StructField(text, StringType())])
+    return encoded.mapInArrow(lambda batches: _decoded(batches, ids, text, path), schema)
 
-        return pd.Series([hashlib.sha256(" ".join(map(str, r.tolist())).encode()).hexdigest() for r in rows], dtype=object)
 
-    return digest(ids)
+def ids_text(ids: Column) -> Column:
+    """Decimal ids joined by a blank."""
+    return F.array_join(ids.cast("array<string>"), " ")
