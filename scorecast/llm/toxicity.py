@@ -17,7 +17,7 @@ labelled rows of both kinds every score is 0. Other columns are left alone.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -56,40 +56,46 @@ def features(word: str) -> list[int]:
     return [crc32(m.encode("utf-8", "replace")) & ((1 << FEATURE_BITS) - 1) for m in marks]
 
 
+class Emissions(dict):
+    """Score of label 1 over label 0 for each word as it stands in a text; frequent words are remembered."""
+
+    def __init__(self, weights: dict[int, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        weight = self.weights.get
+        value = sum([weight(f, 0.0) for f in features(normal(word))])
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+
 @dataclass
 class Chain:
-    """Weights of a two-label chain, and of the document score."""
+    """Weights of a two-label chain by hashed feature, and of the document score."""
 
-    weights: np.ndarray
+    weights: dict[int, float]
     start: np.ndarray
     step: np.ndarray
     document: np.ndarray
-    known: dict[str, float] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        at = np.flatnonzero(self.weights)  # few of the hashed features ever occur
-        return {"at": at.astype(np.int32), "w": self.weights[at], "start": self.start, "step": self.step, "document": self.document}
+        return {"weights": self.weights, "start": self.start, "step": self.step, "document": self.document}
 
     def __setstate__(self, state: dict) -> None:
-        weights = np.zeros(1 << FEATURE_BITS)
-        weights[state["at"]] = state["w"]
-        self.__init__(weights, state["start"], state["step"], state["document"])
-
-    def emission(self, word: str) -> float:
-        """Score of label 1 over label 0 for a word as it stands in a text; frequent words are remembered."""
-        value = self.known.get(word)
-        if value is None:
-            value = float(self.weights[features(normal(word))].sum())
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            if len(word) <= 64:
-                self.known[word] = value
-        return value
+        self.__init__(**state)
+
+    def __post_init__(self) -> None:
+        self.emissions = Emissions(self.weights)
 
     def token_probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The marginal of label 1 for each word of each text."""
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        scores = np.array([self.emission(w) for t in texts for w in t], dtype=np.float64)
+        known = self.emissions
+        scores = np.array([known[w] for t in texts for w in t], dtype=np.float64)
         begins = np.zeros(len(scores), dtype=bool)
         begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         return np.split(marginals(scores, begins, self.start, self.step)[0], np.cumsum(sizes)[:-1])
@@ -165,7 +171,7 @@ def marginals(scores: np.ndarray, begins: np.ndarray, start: np.ndarray, step: n
 def fit_chain(texts: list[list[str]], token_labels: list[np.ndarray], toxic: np.ndarray, rounds: int = 40, l2: float = 1e-4) -> Chain:
     """Fit by gradient steps with a rate for each weight; then the document score on the marginals."""
     if not len(texts) or toxic.min() == toxic.max():
-        return Chain(np.zeros(1 << FEATURE_BITS), np.zeros((2, 2)), np.zeros((2, 2)), np.array([-60.0, 0.0, 0.0]))
+        return Chain({}, np.zeros((2, 2)), np.zeros((2, 2)), np.array([-60.0, 0.0, 0.0]))
     words: dict[str, int] = {}
     ids = np.array([words.setdefault(normal(w), len(words)) for t in texts for w in t], dtype=np.int64)
     marks = [features(w) for w in words]
@@ -193,12 +199,10 @@ def fit_chain(texts: list[list[str]], token_labels: list[np.ndarray], toxic: np.
         step_grad = (pairs - seen_pairs) / n + l2 * step
         step_squares += step_grad**2
         step -= 0.1 * step_grad / np.sqrt(step_squares)
-    full = np.zeros(1 << FEATURE_BITS)
-    full[used] = weights
     word_scores = np.bincount(owner, weights[column], minlength=len(words))
     p, _ = marginals(word_scores[ids], begins, start, step)
     x = np.stack([document_features(q) for q in np.split(p, np.cumsum(sizes)[:-1])])
-    return Chain(full, start, step, _logistic(x, toxic.astype(np.float64)))
+    return Chain(dict(zip(used.tolist(), weights.tolist(), strict=True)), start, step, _logistic(x, toxic.astype(np.float64)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> np.ndarray:
@@ -311,7 +315,7 @@ def toxicity(text: Column, chain: Chain) -> Column:
         found: list[list[dict]] = []
         values = ["" if t is None else t for t in texts]
         for part in _parts(values):
-            words = [_WORD.findall(t) for t in part]
+            words = [t.split() for t in part]
             for t, p in zip(part, chain.token_probabilities(words), strict=True):
                 scores.append(chain.document_score(p))
                 found.append([{"start": a, "end": b, "probability": q} for a, b, q in spans(t, p)])
