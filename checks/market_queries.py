@@ -169,6 +169,21 @@ def model_edge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ranked(model_edge(spark, sf_dir), "predicted_touchdown_probability", ["player_id"]).limit(25)
 
 
+@register(
+    "ranked_predictions",
+    views.with_sql(
+        "rosters prices best_prices edges",
+        "SELECT row_number() OVER (ORDER BY round(p, 6) DESC, player_id) AS rank, player_id,"
+        " round(p, 6) AS predicted_touchdown_probability FROM edges",
+    ),
+)
+def ranked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every prediction, as it stands in the written files."""
+    probability = "predicted_touchdown_probability"
+    predictions = model_edge(spark, sf_dir).withColumn(probability, F.round(probability, 6))
+    return ops.with_rank(predictions, probability, ["player_id"]).select("rank", "player_id", probability)
+
+
 @register("csv_roundtrip", views.with_sql("rosters prices best_prices edges", _EDGE_COLUMNS))
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranked predictions, written as CSV and read back."""

@@ -23,15 +23,15 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--n-folds", type=int, default=5)
     parser.add_argument("--fold-by", choices=["hash", "time"], default="hash")
     parser.add_argument("--parallelism", type=int, default=4)
-    parser.add_argument("--everyone", action="store_true", help="list players without recent usage too")
+    parser.add_argument("--min-usage", action="store_true", help="list only players with recent usage")
     return parser
 
 
 def main() -> None:
     given = vars(arguments().parse_args())
     paths = Paths(**{field.name: given.pop(field.name) for field in fields(Paths)})
-    output, everyone = given.pop("output"), given.pop("everyone")
-    result = run(build_session(), paths, Settings(**given, min_usage=not everyone), output)
+    output = given.pop("output")
+    result = run(build_session(), paths, Settings(**given), output)
     for name, backtest in result.backtests.items():
         print(name, backtest.search.best_params, "threshold", backtest.evaluation.threshold)
         backtest.evaluation.report.show()

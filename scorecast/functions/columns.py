@@ -57,9 +57,14 @@ def home_spread(favourite: Column, home: Column, spread: Column) -> Column:
     return F.when(favourite == home, spread).otherwise(-spread)
 
 
+def known(number: Column) -> Column:
+    """The number, or null for NaN, which would sort above every number."""
+    return F.when(~F.isnan(number), number)
+
+
 def scored(rushing_tds: Column, receiving_tds: Column) -> Column:
-    """1 if either count is above 0, else 0."""
-    return F.coalesce(F.greatest(rushing_tds, receiving_tds) > 0, F.lit(False)).cast("int")
+    """1 if either count is above 0, else 0; NaN counts as missing."""
+    return F.coalesce(F.greatest(known(rushing_tds), known(receiving_tds)) > 0, F.lit(False)).cast("int")
 
 
 def american_to_probability(price: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecast.errors import UnmappedTeamError
@@ -17,6 +17,7 @@ from scorecast.functions.columns import (
     try_number,
     try_whole,
 )
+from scorecast.sources.store import save
 
 # Team ids that the dimension writes differently from the weekly tables.
 TEAM_ALIASES = {"LVR": "LV", "LAR": "LA"}
@@ -160,7 +161,7 @@ def attach_prices(predictions: DataFrame, prices: DataFrame, probability: str) -
     Incomplete rows are dropped, as they cannot be compared.
     """
     keyed = predictions.withColumn("merge_name", name_key(F.col("player_name")))
-    joined = keyed.join(best_prices(prices), "merge_name", "left").withColumn(
+    joined = keyed.where(F.col("merge_name").isNotNull()).join(best_prices(prices), "merge_name").withColumn(
         "model_edge", edge(F.col(probability), F.col("market_implied_prob"))
     )
     return joined.drop("merge_name", "n_prices").dropna()
@@ -168,3 +169,18 @@ def attach_prices(predictions: DataFrame, prices: DataFrame, probability: str) -
 
 def ranked(predictions: DataFrame, probability: str, tie_break: Sequence[str]) -> DataFrame:
     return predictions.orderBy(F.col(probability).desc(), *tie_break)
+
+
+def with_rank(predictions: DataFrame, probability: str, tie_break: Sequence[str]) -> DataFrame:
+    """``predictions`` with their place, from 1, in the order of ``ranked``.
+
+    Rows are range-partitioned in that order and numbered in each partition;
+    the counts of the partitions before are added, so no task sees all rows.
+    """
+    order = [F.col(probability).desc(), *tie_break]
+    parts = save(predictions.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return parts.join(F.broadcast(offsets), "_part").select(place.alias("rank"), *predictions.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from scorecast.functions.columns import present, steps_reached
+from scorecast.functions.columns import known, present, steps_reached
 
 # Result column -> (source column, how many earlier rows).
 Means = Mapping[str, tuple[str, int]]
@@ -17,13 +17,13 @@ Means = Mapping[str, tuple[str, int]]
 def _mean_columns(means: Means, window: WindowSpec, keys: Sequence[str]) -> list[Column]:
     """The means; rows with a missing key belong to no group and get none."""
     return [
-        F.when(present(*keys), F.avg(source).over(window.rowsBetween(-n, -1))).alias(name)
+        F.when(present(*keys), F.avg(known(F.col(source))).over(window.rowsBetween(-n, -1))).alias(name)
         for name, (source, n) in means.items()
     ]
 
 
 def lagged_means(df: DataFrame, keys: Sequence[str], order: Sequence[str], means: Means) -> DataFrame:
-    """Mean of up to n rows before each row; the row itself never counts.
+    """Mean of up to n rows before each row; the row itself never counts, nor does a missing number or NaN.
 
     All columns share one shuffle and one sort. A key's rows go to one task,
     so use it at a grain that bounds them: a player or team has one row per
@@ -92,7 +92,7 @@ def recent_means(df: DataFrame, keys: Sequence[str], order: Sequence[str], means
     ranked = df.where(present(*keys)).select(*keys, *sources, F.row_number().over(from_end).alias("_from_end"))
     recent = ranked.where(F.col("_from_end") <= longest)
     return recent.groupBy(*keys).agg(
-        *[F.avg(F.when(F.col("_from_end") <= n, F.col(source))).alias(name) for name, (source, n) in means.items()]
+        *[F.avg(F.when(F.col("_from_end") <= n, known(F.col(source)))).alias(name) for name, (source, n) in means.items()]
     )
 
 

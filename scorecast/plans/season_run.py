@@ -14,7 +14,7 @@ from scorecast.operators.models import BOOSTED_TREES, RANDOM_FOREST, assemble
 from scorecast.operators.plays import roster_positions
 from scorecast.plans.backtest import Backtest, Evaluation, evaluate_stack, stack, tune
 from scorecast.plans.feature_table import Inputs, build_histories, encode, lagged_features, opponent_codes
-from scorecast.plans.week_scores import score_week, scoring_frame
+from scorecast.plans.week_scores import PROBABILITY, score_week, scoring_frame
 from scorecast.sources import tables
 from scorecast.sources.store import save
 
@@ -44,7 +44,7 @@ class Settings:
     n_folds: int = 5
     fold_by: str = "hash"
     parallelism: int = 4
-    min_usage: bool = True
+    min_usage: bool = False
     grids: Mapping[str, Mapping[str, Sequence[Any]]] = field(default_factory=dict)
 
 
@@ -71,7 +71,7 @@ def read_inputs(spark: SparkSession, paths: Paths, seasons: Sequence[int]) -> tu
 def run(spark: SparkSession, paths: Paths, settings: Settings, output: str) -> Run:
     """Tune both learners and their stack on the validation season, then score the coming week with everything.
 
-    Predictions are written as CSV below ``output``, in a folder named after season and week.
+    Predictions are in the order of their column ``rank``. They are written as CSV below ``output``, in a folder named after season and week.
     """
     inputs, ids = read_inputs(spark, paths, settings.seasons)
     histories = build_histories(inputs, check=True)
@@ -106,14 +106,10 @@ def run(spark: SparkSession, paths: Paths, settings: Settings, output: str) -> R
         opponents=codes,
         lines=upcoming,
     )
-    predictions = save(
-        score_week(
-            assemble(frame, FEATURES),
-            final.score,
-            tables.read_prices(spark, paths.prices),
-            min_usage=settings.min_usage,
-        ),
-        "predictions",
+    scored = score_week(
+        assemble(frame, FEATURES), final.score, tables.read_prices(spark, paths.prices), min_usage=settings.min_usage
     )
+    # Files are read back in any order, so the order is in a column, and every reader sorts by it.
+    predictions = save(market.with_rank(scored, PROBABILITY, ["player_id"]), "predictions").orderBy("rank")
     path = tables.write_predictions(predictions, output, settings.season, settings.week)
     return Run(backtests, stacked, predictions, path)

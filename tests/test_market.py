@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+from scorecast.sources.store import save
+from scorecast.sources.tables import write_csv
 from scorecast.errors import UnmappedTeamError
 from scorecast.operators import market as ops
 from scorecast.sources.tables import duplicate_keys
@@ -115,6 +118,26 @@ def test_best_price_and_repeated_names(spark):
     assert sorted(tuple(r) for r in repeated) == [("half priced", 3), ("marvin harrison", 2)]
 
 
+def test_ranks_survive_many_files(spark, tmp_path):
+    rows = [(i, float((i * 7919) % 5003) / 5003, "x" * (i % 90)) for i in range(4_000)]
+    predictions = spark.createDataFrame(rows, "player_id int, p double, note string")
+    merging = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        stored = save(ops.with_rank(predictions, "p", ["player_id"]), "ranked-test")
+        assert len(stored.inputFiles()) >= 5
+        path = write_csv(stored.orderBy("rank"), str(tmp_path / "ranked"))
+        written = spark.read.option("header", True).csv(path).orderBy(F.col("rank").cast("int")).limit(25).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merging)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    expected = [i for i, _, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert [r.player_id for r in stored.orderBy("rank").limit(25).collect()] == expected[:25]
+    assert [int(r.player_id) for r in written] == expected[:25]
+    assert [(r["rank"], r.player_id) for r in stored.orderBy("rank").collect()] == list(enumerate(expected, start=1))
+
+
 def test_edges_keep_one_row_per_prediction(spark):
     predictions = spark.createDataFrame(
         [

@@ -281,8 +281,8 @@ def test_scores_are_ranked_and_usage_is_optional(spark, histories, paths):
     def score(df, column):
         return df.withColumn(column, F.col("avg_touchdowns"))
 
-    everyone = score_week(frame, score, min_usage=False).collect()
-    used = score_week(frame, score).collect()
+    everyone = score_week(frame, score).collect()
+    used = score_week(frame, score, min_usage=True).collect()
     assert len(everyone) == 25 and "AAA-new" not in {r.player_id for r in used}
     values = [r[PROBABILITY] for r in everyone]
     assert values == sorted(values, reverse=True)
@@ -297,7 +297,6 @@ def test_whole_run(spark, paths, tmp_path):
         draws=2,
         n_splits=2,
         n_folds=2,
-        min_usage=False,
         grids={"rf": {"numTrees": [3, 5], "maxDepth": [3]}, "gbt": {"maxIter": [2], "maxDepth": [2, 3]}},
     )
     result = season_run.run(spark, paths, settings, str(tmp_path))
@@ -310,7 +309,9 @@ def test_whole_run(spark, paths, tmp_path):
     assert result.path.endswith("final_predictions_2025_week_1")
     written = spark.read.option("header", True).csv(result.path)
     assert written.count() == result.predictions.count() == 25
+    assert [r.rank for r in result.predictions.collect()] == list(range(1, 26))
     assert written.columns == [
+        "rank",
         "player_id",
         "player_name",
         "team",
@@ -334,4 +335,4 @@ def test_arguments_fit_the_settings():
     given += ["--output=o", "--seasons", "2021", "2022", "--validation-season=2022", "--season=2023", "--week=1"]
     parsed = vars(arguments().parse_args(given))
     known = {f.name for f in fields(season_run.Paths)} | {f.name for f in fields(season_run.Settings)}
-    assert set(parsed) - known == {"output", "everyone"} and parsed["seasons"] == [2021, 2022]
+    assert set(parsed) - known == {"output"} and parsed["seasons"] == [2021, 2022]

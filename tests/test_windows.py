@@ -139,3 +139,20 @@ def test_rows_without_a_key_form_no_group(spark):
     assert [r.k for r in recent_means(df, ["k"], order, MEANS).collect()] == ["k"]
     assert [r.k for r in latest_rows(df, ["k"], order).collect()] == ["k"]
     assert [r.k for r in latest_present(df, ["k"], order, ["a"]).collect()] == ["k"]
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([("k", 1, 1.0, 1.0), ("k", 2, float("nan"), 3.0), ("k", 3, 5.0, 0.0)], "key string, week int, a double, b double")
+    got = {r.week: r.avg_a for r in lagged_means(df, ["key"], ["week"], MEANS).collect()}
+    assert got == {1: None, 2: 1.0, 3: 1.0}
+    assert recent_means(df, ["key"], ["week"], MEANS).first().avg_a == 3.0
+
+
+def test_nan_is_no_score_and_no_usage(spark):
+    from scorecast.functions.columns import scored
+    from scorecast.operators.asof import minimum_usage
+
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, None, nan), (nan, 1.0, 2.0), (0.0, nan, 0.0)], "avg_carries double, avg_receptions double, c double")
+    assert [r.s for r in df.select(scored(F.col("avg_carries"), F.col("avg_receptions")).alias("s")).collect()] == [0, 1, 0]
+    assert [r.avg_receptions for r in minimum_usage(df).collect()] == [1.0]
