@@ -132,7 +132,9 @@ def marginals(scores: np.ndarray, begins: np.ndarray, start: np.ndarray, step: n
     lanes = -(-n // length)
     padded = np.empty((lanes * length, 2, 2))
     padded[:n], padded[n:] = matrices, np.eye(2)
+    del matrices  # whole copies of the tokens are let go as soon as they are not needed
     steps = np.ascontiguousarray(padded.reshape(lanes, length, 2, 2).transpose(1, 2, 3, 0))  # position, from, to, lane
+    del padded
 
     product = np.zeros((2, 2, lanes))
     product[0, 0] = product[1, 1] = 1.0
@@ -162,7 +164,10 @@ def marginals(scores: np.ndarray, begins: np.ndarray, start: np.ndarray, step: n
         behind[k] = v
         v = steps[k][:, 0] * v[0] + steps[k][:, 1] * v[1]
         v /= v.sum(axis=0)
-    pairs = before[:, :, None] * steps * behind[:, None]
+    pairs = steps
+    pairs *= before[:, :, None]
+    pairs *= behind[:, None]
+    del before, behind
     pairs /= pairs.sum(axis=(1, 2), keepdims=True)
     flat = pairs.transpose(3, 0, 1, 2).reshape(-1, 2, 2)[:n]
     return flat[:, :, 1].sum(axis=1), flat[~begins].sum(axis=0)
