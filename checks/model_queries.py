@@ -173,6 +173,62 @@ def _held_out_scores(spark: SparkSession, sf_dir: str, learner, params) -> DataF
     return with_probability(model, held_out, PROBABILITY).select(*ft.PLAYER_WEEK, ft.LABEL, PROBABILITY)
 
 
+# One split over features of few values: the whole fit can be written in SQL. Both class weightings make the
+# classes weigh the same, so a cut leaves the shares a and b of positives and negatives on its left.
+views.SQL["stump_rows"] = f"""
+  SELECT {_KEYS}, scored_touchdown AS label,
+         [least(coalesce(carries, 0), 9), least(coalesce(targets, 0), 9), CAST(week AS DOUBLE)] AS x
+  FROM labelled
+"""
+views.SQL["stump"] = f"""
+  SELECT f, cut, a / (a + b) AS left_p, (1 - a) / (2 - a - b) AS right_p
+  FROM (
+    SELECT f, (v + lead(v) OVER by_value) / 2 AS cut,
+           sum(pos) OVER by_value / sum(pos) OVER (PARTITION BY f) AS a,
+           sum(neg) OVER by_value / sum(neg) OVER (PARTITION BY f) AS b
+    FROM (SELECT f, x[f] AS v, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg
+          FROM stump_rows, range(1, 4) r(f) WHERE season < {SEASON} GROUP BY ALL)
+    WINDOW by_value AS (PARTITION BY f ORDER BY v))
+  WHERE cut IS NOT NULL
+  ORDER BY a * b / (a + b) + (1 - a) * (1 - b) / (2 - a - b), f, cut LIMIT 1
+"""
+views.SQL["stump_scores"] = f"""
+  SELECT {_KEYS}, label AS scored_touchdown, CASE WHEN x[f] <= cut THEN left_p ELSE right_p END AS p
+  FROM stump_rows, stump WHERE season = {SEASON}
+"""
+_STUMP = f"{LABELLED} stump_rows stump stump_scores"
+
+
+def _stump_scores(spark: SparkSession, sf_dir: str, learner, params) -> DataFrame:
+    few = {c: F.least(F.coalesce(c, F.lit(0.0)), F.lit(9.0)).alias(f"few_{c}") for c in ("carries", "targets")}
+    rows = _labelled(spark, sf_dir).select(*ft.PLAYER_WEEK, ft.LABEL, *few.values())
+    train, held_out = season_split(assemble(rows, ["few_carries", "few_targets", "week"]), SEASON)
+    model = learner.fit(train, ft.LABEL, params)
+    return with_probability(model, held_out, PROBABILITY).select(*ft.PLAYER_WEEK, ft.LABEL, PROBABILITY)
+
+
+@register(
+    "rf_stump",
+    views.with_sql(_STUMP, f"SELECT {_KEYS}, scored_touchdown, round(p, 6) AS {PROBABILITY} FROM stump_scores"),
+)
+def rf_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of one tree with one split, over all rows and features."""
+    params = {"numTrees": 1, "maxDepth": 1, "bootstrap": False, "featureSubsetStrategy": "all"}
+    return _stump_scores(spark, sf_dir, RANDOM_FOREST, params)
+
+
+@register(
+    "gbt_stump",
+    views.with_sql(
+        _STUMP,
+        f"SELECT {_KEYS}, scored_touchdown, round(1 / (1 + exp(-2 * (2 * p - 1))), 6) AS {PROBABILITY} FROM stump_scores",
+    ),
+)
+def gbt_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of boosting: the weighted mean of labels -1 and 1 on either side of one split."""
+    return _stump_scores(spark, sf_dir, BOOSTED_TREES, {"maxIter": 1, "maxDepth": 1})
+
+
 @register("rf_score")
 def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out_scores(spark, sf_dir, RANDOM_FOREST, RF_PARAMS)
@@ -188,7 +244,7 @@ def stack_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stack fitted on the seasons before the coming week, its probabilities for that week and the edges."""
     histories = build_histories(inputs(spark, sf_dir))
     history = _stored_features(histories).where(F.col("season") < SEASON)
-    fitted = stack(history, {"rf": RF_PARAMS, "gbt": GBT_PARAMS}, n_folds=3)
+    fitted = stack(history, {"rf": RF_PARAMS, "gbt": GBT_PARAMS}, n_folds=5)
     coming = assemble(frame(spark, sf_dir, histories), ft.FEATURES)
     return score_week(coming, fitted.score, views.prices(spark, sf_dir), min_usage=False)
 
@@ -197,7 +253,7 @@ def stack_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = season_split(assemble(features(spark, sf_dir), ft.FEATURES), SEASON)
     grid = {"numTrees": [5, 10], "maxDepth": [3, 5], "featureSubsetStrategy": ["sqrt", "log2"]}
-    found = random_search(prepare(train, ft.LABEL, 3), RANDOM_FOREST, ft.LABEL, draws=3, n_splits=3, grid=grid)
+    found = random_search(prepare(train, ft.LABEL, 5), RANDOM_FOREST, ft.LABEL, draws=3, n_splits=5, grid=grid)
     return found.scores_table(spark)
 
 
@@ -211,5 +267,5 @@ def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search on the seasons before one, choose a threshold on their last fold, report on that season."""
     grid = {"numTrees": [10], "maxDepth": [3, 5]}
-    found = tune(features(spark, sf_dir), SEASON, RANDOM_FOREST, draws=2, n_splits=2, grid=grid)
+    found = tune(features(spark, sf_dir), SEASON, RANDOM_FOREST, draws=2, n_splits=5, grid=grid)
     return found.evaluation.report

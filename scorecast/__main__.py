@@ -35,9 +35,15 @@ def main() -> None:
     for name, backtest in result.backtests.items():
         print(name, backtest.search.best_params, "threshold", backtest.evaluation.threshold)
         backtest.evaluation.report.show()
+        print("at the held-out season's own best threshold")
+        backtest.evaluation.held_out_best_report.show()
         backtest.importances.show(truncate=False)
     print("stack, threshold", result.stacked.threshold)
     result.stacked.report.show()
+    for name, table in result.doubts.items():
+        if not table.isEmpty():
+            print(name)
+            table.show(25, truncate=False)
     result.predictions.show(25, truncate=False)
     print(result.path)
 

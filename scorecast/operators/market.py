@@ -155,6 +155,13 @@ def best_prices(prices: DataFrame) -> DataFrame:
     )
 
 
+def shared_names(players: DataFrame) -> DataFrame:
+    """Name keys that several players have; such players get the same price."""
+    keyed = players.select(name_key(F.col("player_name")).alias("merge_name"), "player_id")
+    named = keyed.where("merge_name IS NOT NULL").groupBy("merge_name")
+    return named.agg(F.count_distinct("player_id").alias("n_players")).where("n_players > 1")
+
+
 def attach_prices(predictions: DataFrame, prices: DataFrame, probability: str) -> DataFrame:
     """Predictions that have a price, with the edge over the market.
 

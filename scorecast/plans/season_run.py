@@ -54,6 +54,7 @@ class Run:
     stacked: Evaluation
     predictions: DataFrame
     path: str
+    doubts: dict[str, DataFrame]  # what ``doubts`` found
 
 
 def read_inputs(spark: SparkSession, paths: Paths, seasons: Sequence[int]) -> tuple[Inputs, DataFrame]:
@@ -68,6 +69,21 @@ def read_inputs(spark: SparkSession, paths: Paths, seasons: Sequence[int]) -> tu
     return inputs, ids
 
 
+def doubts(frame: DataFrame, lines: DataFrame, prices: DataFrame) -> dict[str, DataFrame]:
+    """What makes rows of the coming week uncertain; all tables are empty if nothing does.
+
+    Teams without a line score as if it were 0, players listed twice are
+    scored twice, and a name with several prices or players meets the longest
+    price for each of them.
+    """
+    return {
+        "teams_without_line": market.uncovered_teams(frame, "team", lines, "team"),
+        "repeated_players": tables.duplicate_keys(frame, ["player_id"]),
+        "names_with_several_prices": tables.duplicate_keys(market.price_table(prices), ["merge_name"]),
+        "names_of_several_players": market.shared_names(frame),
+    }
+
+
 def run(spark: SparkSession, paths: Paths, settings: Settings, output: str) -> Run:
     """Tune both learners and their stack on the validation season, then score the coming week with everything.
 
@@ -97,7 +113,7 @@ def run(spark: SparkSession, paths: Paths, settings: Settings, output: str) -> R
     codes = opponent_codes(histories)
     final = stack(encode(lagged, codes), params, **folds)
     upcoming = market.consolidate_lines(tables.read_upcoming_lines(spark, paths.upcoming_lines), ids)
-    frame = scoring_frame(
+    coming = scoring_frame(
         histories,
         tables.read_schedule(spark, paths.schedule, [settings.season]),
         tables.read_rosters(spark, paths.rosters, [settings.season]),
@@ -106,10 +122,10 @@ def run(spark: SparkSession, paths: Paths, settings: Settings, output: str) -> R
         opponents=codes,
         lines=upcoming,
     )
-    scored = score_week(
-        assemble(frame, FEATURES), final.score, tables.read_prices(spark, paths.prices), min_usage=settings.min_usage
-    )
+    frame = save(coming, "coming-week")
+    prices = tables.read_prices(spark, paths.prices)
+    scored = score_week(assemble(frame, FEATURES), final.score, prices, min_usage=settings.min_usage)
     # Files are read back in any order, so the order is in a column, and every reader sorts by it.
     predictions = save(market.with_rank(scored, PROBABILITY, ["player_id"]), "predictions").orderBy("rank")
     path = tables.write_predictions(predictions, output, settings.season, settings.week)
-    return Run(backtests, stacked, predictions, path)
+    return Run(backtests, stacked, predictions, path, doubts(frame, upcoming, prices))

@@ -322,10 +322,32 @@ def test_whole_run(spark, paths, tmp_path):
         "market_implied_prob",
         "model_edge",
     ]
+    best = records(result.stacked.held_out_best_report, "row")["Scored TD"]["f1"]
+    assert best == pytest.approx(result.stacked.held_out_best.first()["f1"])
+    assert set(result.doubts) == {
+        "teams_without_line", "repeated_players", "names_with_several_prices", "names_of_several_players",
+    }
+    assert result.doubts["repeated_players"].isEmpty() and result.doubts["names_of_several_players"].isEmpty()
     row = result.predictions.where("player_id = 'AAA-new'").first()
     assert row.price == 900 and row.model_edge == pytest.approx(row[PROBABILITY] - 0.1)
 
 
+def test_doubts_name_what_is_uncertain(spark):
+    frame = spark.createDataFrame(
+        [("1", "Al Bo", "A"), ("1", "Al Bo", "B"), ("2", "AL BO", "A"), ("3", None, "C"), ("4", "Cy Do", None)],
+        "player_id string, player_name string, team string",
+    )
+    lines = spark.createDataFrame([("A",), ("B",)], "team string")
+    prices = spark.createDataFrame([("Cy Do", 100.0), ("CY DO", 200.0), ("Al Bo", 300.0)], "description string, price double")
+    found = {name: [tuple(r) for r in table.collect()] for name, table in season_run.doubts(frame, lines, prices).items()}
+    assert found == {
+        "teams_without_line": [("C",)],
+        "repeated_players": [("1", 2)],
+        "names_with_several_prices": [("cy do", 2)],
+        "names_of_several_players": [("al bo", 2)],
+    }
+
+
 def test_arguments_fit_the_settings():
     from dataclasses import fields
 
