@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from scorecast.llm.common import forest, key_runs
 from scorecast.llm.components import components
@@ -119,21 +120,26 @@ def linked_pairs(
     return left[ok], right[ok]
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, vectors) by vector length."""
+def stored_type(embeddings: DataFrame) -> str:
+    """How vectors travel: single precision where they are given so, which loses nothing, else double."""
+    return "float32" if embeddings.schema["embedding"].dataType.elementType == FloatType() else "float64"
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, stored: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, vectors in double precision) by vector length."""
     blobs = column.to_pylist()
     lengths = np.array([len(b) for b in blobs])
     return [
-        (at := np.flatnonzero(lengths == n), np.frombuffer(b"".join(blobs[i] for i in at), dtype=np.float64).reshape(-1, n // 8))
+        (at := np.flatnonzero(lengths == n), np.frombuffer(b"".join(blobs[i] for i in at), dtype=stored).astype(np.float64).reshape(len(at), -1))
         for n in np.unique(lengths).tolist()
     ]
 
 
-def _banded(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch], bits: int, bands: int, stored: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
-            for at, vectors in _matrix(part.column("vector")):
+            for at, vectors in _matrix(part.column("vector"), stored):
                 unit = unit_rows(vectors)
                 keys = band_keys(unit, bits, bands)
                 codes, factors = binary_codes(unit)
@@ -146,12 +152,12 @@ def _banded(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterato
                     )
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], bits: int, bands: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterator[pa.RecordBatch], bits: int, bands: int, threshold: float, stored: str) -> Iterator[pa.RecordBatch]:
     for group in key_runs(batches, ["band", "key", "one", "two"]):
         if group.num_rows < 2:
             continue
         band, one, two = (group.column(c)[0].as_py() for c in ("band", "one", "two"))
-        (_, vectors), *_ = _matrix(group.column("vector"))
+        (_, vectors), *_ = _matrix(group.column("vector"), stored)
         node = group.column("node").to_numpy()
         copies = group.column("copies").to_numpy().astype(np.int64)
         codes = np.frombuffer(b"".join(group.column("code").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
@@ -192,18 +198,18 @@ def distinct_vectors(embeddings: DataFrame) -> DataFrame:
     return wide.where(sound).groupBy("v").agg(F.count("*").alias("copies")).select(F.xxhash64("v").alias("node"), "copies", "v")
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bytes(batches: Iterator[pa.RecordBatch], stored: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = batch.column("v")
-        blobs = [np.asarray(v, dtype=np.float64).tobytes() for v in vectors.to_pylist()]
+        blobs = [np.asarray(v, dtype=stored).tobytes() for v in vectors.to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), pa.array(blobs, pa.binary())], names=["node", "copies", "vector"])
 
 
-def link_sums(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def link_sums(distinct: DataFrame, threshold: float = THRESHOLD, stored: str = "float64") -> DataFrame:
     """(node, links, root) from the groups: parts of the number of linked rows, and links that connect."""
     bits, bands = band_plan(distinct.count(), threshold)
     banded = distinct.mapInArrow(
-        lambda batches: _banded(batches, bits, bands), "band int, key long, node long, copies long, vector binary, code binary, factor double"
+        lambda batches: _banded(batches, bits, bands, stored), "band int, key long, node long, copies long, vector binary, code binary, factor double"
     )
     sizes = banded.groupBy("band", "key").count().where(F.col("count") > BLOCK)
     large = save(sizes.select("band", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "embedding-buckets")
@@ -214,13 +220,15 @@ def link_sums(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = met.select(*columns, "block", "node", "copies", "vector", "code", "factor")
     keys = ("band", "key", "one", "two")
     dealt = groups.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(lambda batches: _grouped(batches, bits, bands, threshold), "node long, links long, root long")
+    return dealt.mapInArrow(lambda batches: _grouped(batches, bits, bands, threshold, stored), "node long, links long, root long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding)."""
-    distinct = save(distinct_vectors(embeddings).mapInArrow(_bytes, "node long, copies long, vector binary"), "embeddings")
-    sums = save(link_sums(distinct, threshold), "embedding-links")
+    stored = stored_type(embeddings)
+    packed = distinct_vectors(embeddings).mapInArrow(lambda batches: _bytes(batches, stored), "node long, copies long, vector binary")
+    distinct = save(packed, "embeddings")
+    sums = save(link_sums(distinct, threshold, stored), "embedding-links")
     counts = sums.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(sums.select(F.col("node").alias("a"), F.col("root").alias("b")))
     nodes = distinct.select("node", "copies").join(counts, "node", "left").join(roots, "node", "left")
