@@ -134,15 +134,17 @@ def brute_embeddings(rows, threshold=0.9):
     return sorted((i, counts[k], min(smallest[roots[k]]), i == min(smallest[roots[k]])) for k, (i, _) in enumerate(rows))
 
 
-def test_embeddings_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_embeddings_match_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)  # so that the hot bucket is cut into blocks
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 32))
     vectors = [b + 0.12 * rng.normal(size=32) for b in base for _ in range(6)] + [base[0] + 0.01 * rng.normal(size=32) for _ in range(150)]
     vectors += [rng.normal(size=32) for _ in range(80)] + [base[1] * 3] * 4
-    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    given = np.float32 if kind == "float" else np.float64
+    rows = [(k, [float(given(x)) for x in v]) for k, v in enumerate(vectors)]
     rows += [(1_000, None), (1_001, [0.0] * 32), (1_002, [None] * 32), (1_003, [float("nan")] * 32), (1_004, [1.0, 0.0]), (1_005, [2.0, 0.0]), (1_006, [])]
-    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "vec_id long, embedding array<double>, node long")
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], f"vec_id long, embedding array<{kind}>, node long")
     assert ordered(embedding_dedup.near_duplicates(df)) == sorted(brute_embeddings(rows), key=repr)
 
 
