@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorecast.operators.features import ALLOWED
+from scorecast.plans.feature_table import SHARES
+
 SQL: dict[str, str] = {}
 
 
@@ -414,26 +417,12 @@ SQL["allowed"] = """
   FROM plays GROUP BY ALL
 """
 
-_SHARES = "redzone_carry_share redzone_target_share inside_5_carry_share inside_5_target_share".split()
-_ALLOWED = [
-    f"{kind}_to_{position}"
-    for kind, position in [
-        ("rushing_tds_allowed", "RB"),
-        ("rushing_tds_allowed", "WR"),
-        ("rushing_tds_allowed", "QB"),
-        ("passing_tds_allowed", "RB"),
-        ("passing_tds_allowed", "WR"),
-        ("passing_tds_allowed", "TE"),
-    ]
-]
-
-
 def _zeros(columns: list[str]) -> str:
     return ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in columns)
 
 
 SQL["players"] = f"""
-  SELECT labelled.*, {_zeros(_SHARES)} FROM labelled LEFT JOIN shares USING (player_id, recent_team, season, week)
+  SELECT labelled.*, {_zeros(SHARES)} FROM labelled LEFT JOIN shares USING (player_id, recent_team, season, week)
 """
 
 SQL["offences"] = f"""
@@ -445,7 +434,7 @@ SQL["offences"] = f"""
 
 SQL["defences"] = f"""
   SELECT opponent_team, season, week,
-         {_zeros(["passing_tds_allowed", "rushing_tds_allowed", "total_tds_allowed", "epa_allowed", *_ALLOWED])}
+         {_zeros(["passing_tds_allowed", "rushing_tds_allowed", "total_tds_allowed", "epa_allowed", *ALLOWED])}
   FROM (SELECT DISTINCT opponent_team, season, week FROM players)
        LEFT JOIN allowed USING (opponent_team, season, week)
        LEFT JOIN allowed_positions USING (opponent_team, season, week)
