@@ -45,6 +45,7 @@ class Settings:
     fold_by: str = "hash"
     parallelism: int = 4
     min_usage: bool = False
+    max_fit_rows: int | None = None  # about so many rows at most for any fit; all are scored
     grids: Mapping[str, Mapping[str, Sequence[Any]]] = field(default_factory=dict)
 
 
@@ -103,11 +104,17 @@ def run(spark: SparkSession, paths: Paths, settings: Settings, output: str) -> R
             n_splits=settings.n_splits,
             grid=settings.grids.get(learner.name),
             parallelism=settings.parallelism,
+            max_fit_rows=settings.max_fit_rows,
         )
         for learner in (RANDOM_FOREST, BOOSTED_TREES)
     }
     params = {name: backtest.search.best_params for name, backtest in backtests.items()}
-    folds = {"n_folds": settings.n_folds, "fold_by": settings.fold_by, "parallelism": settings.parallelism}
+    folds = {
+        "n_folds": settings.n_folds,
+        "fold_by": settings.fold_by,
+        "parallelism": settings.parallelism,
+        "max_fit_rows": settings.max_fit_rows,
+    }
     _, stacked = evaluate_stack(known, settings.validation_season, params, **folds)
 
     codes = opponent_codes(histories)
