@@ -7,9 +7,10 @@ two fingerprints estimates the Jaccard similarity of their shingle sets.
 
 Near duplicates: fingerprints are cut into bands, and equal bands are joined
 in Spark. In each group of a band every fingerprint is compared with a pivot,
-the smallest one that is not linked yet; those that are not linked to it get
-the next pivot, until none is left. A comparison verifies the Jaccard
-similarity of the whole shingle sets, and copies are compared once.
+the smallest one; those that are not linked to it get further pivots from
+among themselves, twice as many each round, until none is left. The rounds
+follow the logarithm of the mutually different members. A comparison verifies
+the Jaccard similarity of the whole shingle sets, and copies are compared once.
 
 Defined results: A-Z and other letters in lower case; a null text is empty;
 a text of fewer than five words is one shingle; texts without words have a
@@ -249,8 +250,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     members = save(bands.join(shared, "band"), "minhash-bands")
     open_ = members
     links = None
+    many = 1
     while True:
-        pivots = open_.groupBy("band").agg(F.min("node").alias("pivot"))
+        pivots = open_.groupBy("band", F.pmod("node", F.lit(many)).alias("part")).agg(F.min("node").alias("pivot")).drop("part")
         pairs = members.join(pivots, "band").where("node <> pivot").select("node", "pivot").distinct()
         left, right = sets.withColumnRenamed("shingles", "a"), sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("b"))
         near = pairs.join(left, "node").join(right, "pivot").where(_jaccard("a", "b") >= similarity).select("node", "pivot")
@@ -260,6 +262,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         open_ = save(open_.join(done, ["band", "node"], "left_anti"), "minhash-open")
         if open_.isEmpty():
             break
+        many *= 2
     roots = components(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     named = marked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
