@@ -17,6 +17,7 @@ labelled rows of both kinds every score is 0. Other columns are left alone.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -36,7 +37,7 @@ FEATURE_BITS = 18
 STEMS = (4, 5, 6)
 MIN_EVIDENCE, MIN_RATIO = 36.0, 12.0
 """A lexicon entry's likelihood ratio statistic, and how much likelier it is in a toxic document, at least."""
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 SPAN_PROBABILITY = 0.5
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&-_|"
 
@@ -59,13 +60,13 @@ def features(word: str) -> list[int]:
 class Emissions(dict):
     """Score of label 1 over label 0 for each word as it stands in a text; frequent words are remembered."""
 
-    def __init__(self, weights: dict[int, float]):
+    def __init__(self, weights: array):
         super().__init__()
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        weight = self.weights.get
-        value = sum([weight(f, 0.0) for f in features(normal(word))])
+        weights = self.weights
+        value = sum([weights[f] for f in features(normal(word))])
         if len(self) >= CACHED_WORDS:
             self.clear()
         if len(word) <= 64:
@@ -77,7 +78,7 @@ class Emissions(dict):
 class Chain:
     """Weights of a two-label chain by hashed feature, and of the document score."""
 
-    weights: dict[int, float]
+    weights: array
     start: np.ndarray
     step: np.ndarray
     document: np.ndarray
@@ -176,7 +177,7 @@ def marginals(scores: np.ndarray, begins: np.ndarray, start: np.ndarray, step: n
 def fit_chain(texts: list[list[str]], token_labels: list[np.ndarray], toxic: np.ndarray, rounds: int = 40, l2: float = 1e-4) -> Chain:
     """Fit by gradient steps with a rate for each weight; then the document score on the marginals."""
     if not len(texts) or toxic.min() == toxic.max():
-        return Chain({}, np.zeros((2, 2)), np.zeros((2, 2)), np.array([-60.0, 0.0, 0.0]))
+        return Chain(array("d", bytes(8 << FEATURE_BITS)), np.zeros((2, 2)), np.zeros((2, 2)), np.array([-60.0, 0.0, 0.0]))
     words: dict[str, int] = {}
     ids = np.array([words.setdefault(normal(w), len(words)) for t in texts for w in t], dtype=np.int64)
     marks = [features(w) for w in words]
@@ -207,7 +208,9 @@ def fit_chain(texts: list[list[str]], token_labels: list[np.ndarray], toxic: np.
     word_scores = np.bincount(owner, weights[column], minlength=len(words))
     p, _ = marginals(word_scores[ids], begins, start, step)
     x = np.stack([document_features(q) for q in np.split(p, np.cumsum(sizes)[:-1])])
-    return Chain(dict(zip(used.tolist(), weights.tolist(), strict=True)), start, step, _logistic(x, toxic.astype(np.float64)))
+    every = np.zeros(1 << FEATURE_BITS)
+    every[used] = weights
+    return Chain(array("d", every.tobytes()), start, step, _logistic(x, toxic.astype(np.float64)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> np.ndarray:
@@ -329,7 +332,7 @@ def toxicity(text: Column, chain: Chain) -> Column:
     return tagged(text)
 
 
-def _parts(texts: list[str], chars: int = 2_000_000) -> list[list[str]]:
+def _parts(texts: list[str], chars: int = 500_000) -> list[list[str]]:
     """Consecutive texts of about so many characters together, which bounds what the marginals hold."""
     out: list[list[str]] = [[]]
     held = 0
