@@ -56,11 +56,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and a digest of what they decode to."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(docs, path, ids=(ids := fresh(docs, "ids"))).select("doc_id", "lang", "source", F.col(ids).alias("ids"))
-    decoded = bpe.decode(encoded, path)
-    return decoded.select(
-        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    )
+    ids, decoded = fresh(docs, "ids"), fresh(docs, "decoded")
+    encoded = bpe.encode(docs, path, ids=ids, decoded=decoded)
+    digest = F.sha2(F.col(decoded).cast("binary"), 256).alias("decoded_sha256")
+    return encoded.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("ids"), digest)
 
 
 STAGES = [

@@ -28,7 +28,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,11 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from scorecast.llm.common import fresh, key_runs
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 PIECE_CHARS = 65_536
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 CACHED_CHARS = 48
 OUT_ROWS = 256
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]*")
@@ -65,15 +69,10 @@ class Encoder:
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        spec["truncation"] = spec["padding"] = None
+        self.path = path
+        spec = self._spec()
         self.whole = Tokenizer.from_str(json.dumps(spec))
         self.suffix = spec["model"]["end_of_word_suffix"]
-        bare = spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
-        self.outer = Tokenizer.from_str(json.dumps(bare))
-        bare["model"] = spec["model"] | {"end_of_word_suffix": None}
-        self.inner = Tokenizer.from_str(json.dumps(bare))
         self.specials = {t["content"] for t in spec["added_tokens"]}
         self.tokens = [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size())]
         self.special_ids = {t["id"] for t in spec["added_tokens"]}
@@ -83,6 +82,25 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.cached_words = cached_words
 
+    def _spec(self) -> dict:
+        with open(self.path, encoding="utf-8") as file:
+            return json.load(file) | {"truncation": None, "padding": None}
+
+    def _bare(self, suffix: str | None) -> Tokenizer:
+        """The merges alone; built only where texts are joined, since each tokenizer takes memory."""
+        from tokenizers import Tokenizer
+
+        spec = self._spec() | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        return Tokenizer.from_str(json.dumps(spec | {"model": spec["model"] | {"end_of_word_suffix": suffix}}))
+
+    @cached_property
+    def outer(self) -> Tokenizer:
+        return self._bare(self.suffix)
+
+    @cached_property
+    def inner(self) -> Tokenizer:
+        return self._bare(None)
+
     def _merge_words(self, words: list[str]) -> None:
         """Cache the ids of parts of plain words, which need only the merges; one call for all of them."""
         letters = [w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
@@ -212,14 +230,16 @@ def cut_points(text: str, piece_chars: int = PIECE_CHARS) -> list[tuple[int, boo
 _IDS = ArrayType(IntegerType())
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], text: str, ids: str, path: str) -> Iterator[pa.RecordBatch]:
-    """The rows with a column of ids, in small batches: ids are as large as texts."""
+def _encoded(batches: Iterator[pa.RecordBatch], text: str, ids: str, path: str, decoded: str | None) -> Iterator[pa.RecordBatch]:
+    """The rows with a column of ids, and what they decode to if asked for, in small batches: ids are as large as texts."""
     tool = encoder(path)
     for batch in batches:
         for start in range(0, batch.num_rows, OUT_ROWS):
             part = batch.slice(start, OUT_ROWS)
             found = tool.encode_all(["" if t is None else t for t in part.column(text).to_pylist()])
-            yield part.append_column(ids, _lists(found))
+            part = part.append_column(ids, _lists(found))
+            yield part if decoded is None else part.append_column(decoded, pa.array([tool.decode(f) for f in found], pa.string()))
+    pa.default_memory_pool().release_unused()  # the worker is used again
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -227,9 +247,9 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int32), pa.int32()))
 
 
-def _with_ids(df: DataFrame, text: str, ids: str, path: str) -> DataFrame:
-    schema = StructType([*df.schema.fields, StructField(ids, _IDS)])
-    return df.mapInArrow(lambda batches: _encoded(batches, text, ids, path), schema)
+def _with_ids(df: DataFrame, text: str, ids: str, path: str, decoded: str | None = None) -> DataFrame:
+    added = [StructField(ids, _IDS), *([StructField(decoded, StringType())] if decoded else [])]
+    return df.mapInArrow(lambda batches: _encoded(batches, text, ids, path, decoded), StructType([*df.schema.fields, *added]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], piece_chars: int) -> Iterator[pa.RecordBatch]:
@@ -263,11 +283,16 @@ def _joined(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([rows.column("row").combine_chunks()[:1], pa.array([ids], pa.list_(pa.int32()))], names=["row", "ids"])
 
 
-def encode(docs: DataFrame, path: str, ids: str = "ids", piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """``docs`` with the ids of its column ``text``."""
+def encode(docs: DataFrame, path: str, ids: str = "ids", piece_chars: int = PIECE_CHARS, decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of its column ``text``.
+
+    ``decoded`` names one more column, the text that the ids decode to. It is
+    made where the ids are, so that a task needs one Python worker; ``decode``
+    after ``encode`` in one stage needs two, with a vocabulary each.
+    """
     names = [f"`{c}`" for c in docs.columns]
     is_long = F.char_length(F.coalesce("text", F.lit(""))) > piece_chars
-    short = _with_ids(docs.where(~is_long), "text", ids, path)
+    short = _with_ids(docs.where(~is_long), "text", ids, path, decoded)
     row, found = fresh(docs, "row"), fresh(docs, "found")
     # A long text is named by its place in the input; a task that is run again names it alike.
     long = docs.where(is_long).withColumn(row, F.monotonically_increasing_id())
@@ -276,7 +301,7 @@ def encode(docs: DataFrame, path: str, ids: str = "ids", piece_chars: int = PIEC
     whole = encoded.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(lambda b: _joined(b, path), "row long, ids array<int>")
     right = whole.select(F.col("row").alias(f"{row}_right"), F.col("ids").alias(found))
     both = long.join(right, long[row] == right[f"{row}_right"]).select(*names, F.col(found).alias(ids))
-    return short.union(both)
+    return short.union(decode(both, path, ids, decoded) if decoded else both)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ids: str, text: str, path: str) -> Iterator[pa.RecordBatch]:

@@ -113,8 +113,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    return bpe.decode(encoded, path).select(
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(bpe.ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),

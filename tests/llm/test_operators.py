@@ -241,6 +241,8 @@ def test_encoding_and_decoding_match_the_library(wide, nothing, tokens):
         for r in rows:
             ids = tool.whole.encode(r["text"] or "", add_special_tokens=False).ids
             assert r["token_ids"] == ids and r["decoded"] == tool.whole.decode(ids, skip_special_tokens=False)
+        at_once = bpe.encode(wide, tokens, ids="token_ids", piece_chars=piece_chars, decoded="decoded")
+        assert ordered(at_once.select("text", "token_ids", "decoded")) == sorted((tuple(r) for r in rows), key=repr)
     assert bpe.encode(nothing, tokens).count() == 0
 
 
