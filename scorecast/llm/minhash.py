@@ -5,12 +5,14 @@ theirs. ``PERMUTATIONS`` universal hash functions are applied to all shingles
 in numpy and their minima are the fingerprint. The share of equal minima of
 two fingerprints estimates the Jaccard similarity of their shingle sets.
 
-Near duplicates: fingerprints are cut into bands, and equal bands are joined
-in Spark. In each group of a band every fingerprint is compared with a pivot,
-the smallest one; those that are not linked to it get further pivots from
-among themselves, twice as many each round, until none is left. The rounds
-follow the logarithm of the mutually different members. A comparison verifies
-the Jaccard similarity of the whole shingle sets, and copies are compared once.
+Near duplicates: fingerprints are cut into bands, and texts with an equal band
+are a group. Every member is first compared with the group's smallest one.
+Groups whose members are then not all connected are compared in full: every
+pair of members that are not connected yet, in the first band that both share.
+Groups beyond ``BLOCK`` texts or ``BLOCK_SHINGLES`` shingles are cut into
+blocks, and each pair of blocks is a group of its own. A group reports links
+that connect, never its pairs. A comparison takes the Jaccard similarity of
+the whole shingle sets, and copies are compared once.
 
 Defined results: A-Z and other letters in lower case; a null text is empty;
 a text of fewer than five words is one shingle; texts without words have a
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
 
+from scorecast.llm.common import key_runs
 from scorecast.llm.components import components
 from scorecast.sources.store import save
 
@@ -39,6 +42,8 @@ SHINGLE_WORDS = 5
 PERMUTATIONS = 128
 BAND_ROWS = 4
 SIMILARITY = 0.8
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 _SEED = 7
 _BLOCK = 2_048
 _RANDOM = np.random.default_rng(_SEED)
@@ -240,30 +245,124 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)])
 
 
+class _Sets:
+    """Sets of numbers, counted by flags over the numbers that occur."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets])
+        known, places = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sets = np.split(places, np.cumsum(self.sizes)[:-1])
+        self.flags = np.zeros(len(known), dtype=bool)
+
+    def common(self, one: int, others: np.ndarray) -> np.ndarray:
+        """How many numbers of set ``one`` each of the others holds."""
+        self.flags[self.sets[one]] = True
+        found = self.flags[np.concatenate([self.sets[k] for k in others])]
+        self.flags[self.sets[one]] = False
+        ends = np.cumsum(self.sizes[others])
+        running = np.concatenate([[0], np.cumsum(found)])
+        return running[ends] - running[ends - self.sizes[others]]
+
+
+def connecting(sets: _Sets, earlier: _Sets, labels: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Links between members of different labels, enough to connect all that are linked.
+
+    Members that share an ``earlier`` band are compared there. With ``side``,
+    only members of different sides are compared. Every member is compared
+    with all that are not connected to it when its turn comes.
+    """
+    ours = [np.flatnonzero(labels == label) for label in range(labels.max() + 1)]
+    waiting = np.ones(len(labels), dtype=bool)
+    links = []
+    for label in range(len(ours)):
+        if not waiting[ours[label][0]]:
+            continue
+        queue = ours[label].tolist()
+        waiting[queue] = False
+        while queue:
+            one = queue.pop()
+            size = sets.sizes[one]
+            others = np.flatnonzero(waiting if side is None else waiting & (side != side[one]))
+            sizes = sets.sizes[others]
+            # What one set has more than the other cannot be common.
+            others = others[np.minimum(size, sizes) >= similarity * np.maximum(size, sizes) - 0.5]
+            others = others[earlier.common(one, others) == 0] if len(others) else others
+            if not len(others):
+                continue
+            common = sets.common(one, others)
+            union = size + sets.sizes[others] - common
+            # Texts without words are equal among themselves.
+            alike = np.where(union == 0, 1.0, common / np.maximum(union, 1))
+            for other in others[alike >= similarity].tolist():
+                if waiting[other]:
+                    links.append((one, other))
+                    waiting[ours[labels[other]]] = False
+                    queue += ours[labels[other]].tolist()
+    return links
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for group in key_runs(batches, ["band", "one", "two"]):
+        band, one, two = (group.column(c)[0].as_py() for c in ("band", "one", "two"))
+        labels = np.unique(group.column("root").to_numpy(), return_inverse=True)[1]
+        if labels.max() == 0:
+            continue
+        node, block = group.column("node").to_numpy(), group.column("block").to_numpy()
+        sets = [s.values.to_numpy() for s in group.column("shingles")]
+        bands = [b[b < band] for b in (s.values.to_numpy() for s in group.column("bands"))]
+        links = connecting(_Sets(sets), _Sets(bands), labels, None if one == two else block, similarity)
+        if links:
+            a, b = np.array(links).T
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+
+def _across(members: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame | None:
+    """Links (a, b) within bands whose members do not all have one root yet; None if there are no such bands."""
+    placed = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sums = placed.join(sets.select("node", "n"), "node").groupBy("band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("count"), F.sum("n").alias("n")
+    )
+    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = save(sums.where("low <> high").select("band", blocks.alias("blocks")), "minhash-mixed")
+    if mixed.isEmpty():
+        return None
+    dealt = placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    columns = ["band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")]
+    groups = met.select(*columns, "block", "node", "root").join(sets.drop("n"), "node")
+    keys = ("band", "one", "two")
+    sorted_ = groups.repartition(*keys).sortWithinPartitions(*keys)
+    return save(sorted_.mapInArrow(lambda batches: _in_groups(batches, similarity), "a long, b long"), "minhash-across")
+
+
+def _with_components(docs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """``marked`` (doc_id, node, fingerprint and others, stored) with component_id in place of node."""
+    bands = marked.select("node", F.explode(_band_keys("fingerprint")).alias("band"))
+    ends = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
+    shared = ends.where("pivot <> last").select("band", "pivot")
+    members = save(bands.join(shared, "band").select("band", "node", "pivot").distinct(), "minhash-bands")
+    held = members.groupBy("node").agg(F.collect_list("band").alias("bands"))
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(held.select("node"), "node", "left_semi")
+    whole = texts.dropDuplicates(["node"]).select("node", _shingle_sets("text").alias("shingles"))
+    sets = save(whole.join(held, "node").select("node", "shingles", "bands", F.size("shingles").alias("n")), "minhash-sets")
+    pairs = members.where("node <> pivot").select("node", "pivot").distinct()
+    left, right = sets.select("node", F.col("shingles").alias("a")), sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("b"))
+    near = pairs.join(left, "node").join(right, "pivot").where(_jaccard("a", "b") >= similarity)
+    links = save(near.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "minhash-links")
+    roots = components(links)
+    further = _across(members, sets, roots, similarity)
+    if further is not None:
+        roots = components(links.union(further))
+    # Only copies and linked texts are named by the join; the rest are alone.
+    counted = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(roots, "node", "left")
+    grouped = save(counted.where("copies > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "least"), "minhash-groups")
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = save(grouped.join(smallest, "root").select("node", "component_id"), "minhash-components")
+    kept = [c for c in marked.columns if c != "node"]
+    return marked.join(named, "node", "left").select(*kept, F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest doc_id that verified links lead to."""
     marked = save(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), fingerprint(F.col("text")).alias("fingerprint")), "minhash-docs")
-    whole = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), _shingle_sets("text").alias("shingles"))
-    sets = save(whole.dropDuplicates(["node"]), "minhash-sets")
-    bands = marked.dropDuplicates(["node"]).select("node", F.explode(_band_keys("fingerprint")).alias("band"))
-    shared = bands.groupBy("band").count().where("count > 1").select("band")
-    members = save(bands.join(shared, "band"), "minhash-bands")
-    open_ = members
-    links = None
-    many = 1
-    while True:
-        pivots = open_.groupBy("band", F.pmod("node", F.lit(many)).alias("part")).agg(F.min("node").alias("pivot")).drop("part")
-        pairs = members.join(pivots, "band").where("node <> pivot").select("node", "pivot").distinct()
-        left, right = sets.withColumnRenamed("shingles", "a"), sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("b"))
-        near = pairs.join(left, "node").join(right, "pivot").where(_jaccard("a", "b") >= similarity).select("node", "pivot")
-        near = save(near, "minhash-links")
-        links = near if links is None else links.union(near)
-        done = pivots.select("band", F.col("pivot").alias("node")).union(open_.join(pivots, "band").join(near, ["node", "pivot"]).select("band", "node"))
-        open_ = save(open_.join(done, ["band", "node"], "left_anti"), "minhash-open")
-        if open_.isEmpty():
-            break
-        many *= 2
-    roots = components(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    named = marked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "root").select("doc_id", "fingerprint", "component_id")
+    return _with_components(docs, marked, similarity)

@@ -437,6 +437,37 @@ def test_minhash_near_duplicates_match_brute_force(spark, documents):
     assert got == {rows[k][0]: smallest[roots[k]] for k in range(len(rows))}
 
 
+def two_families(variants, seed):
+    """Two texts at Jaccard 0.88, each with variants at 0.82 of it that are under 0.8 to all others: (texts, linked pairs)."""
+    rng = np.random.default_rng(seed)
+    x = [f"w{seed}_{i}" for i in range(400)]
+
+    def changed(words, places, mark):
+        return [f"{mark}_{i}" if i in places else w for i, w in enumerate(words)]
+
+    y = changed(x, {20, 100, 180, 260, 340}, "y")
+    texts = [x, y]
+    for k in range(2 * variants):
+        places = set((rng.choice(39, 8, replace=False) * 10 + rng.integers(5, 10)).tolist())
+        texts.append(changed(texts[k % 2], places, f"v{k}"))
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_two_families_joined_by_one_link_stay_one_group(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    rows = [(1_000 * seed + k, t) for seed in range(1, 4) for k, t in enumerate(two_families(60, seed))]
+    sets = [set(minhash.shingle_hashes(t).tolist()) for _, t in rows]
+    across = [
+        (rows[a][0] % 1_000, rows[b][0] % 1_000)
+        for a, b in itertools.combinations(range(len(rows)), 2)
+        if (rows[a][0] - rows[b][0]) % 2 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ]
+    assert across == [(0, 1)] * 3
+    got = dict(ordered(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id")))
+    assert got == {doc_id: doc_id // 1_000 * 1_000 for doc_id, _ in rows}
+
+
 # pipeline
 
 
