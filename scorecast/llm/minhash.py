@@ -156,18 +156,18 @@ def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     return spread.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "guest", "doc_id", "turn")
 
 
-def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, str]]:
-    """(doc_id, text, next text) of a task's rows, which are read once; one document is held."""
-    held: tuple[int, int, str] | None = None  # bucket, doc_id, text
+def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str, str]]:
+    """(doc_id, hash of the text, text, next text) of a task's rows, which are read once; one document is held."""
+    held: tuple[int, int, int, str] | None = None  # bucket, doc_id, turn, text
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text"))
-        for bucket, guest, doc_id, text in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "turn", "text"))
+        for bucket, guest, doc_id, turn, text in zip(*columns, strict=True):
             if held is not None and bucket == held[0]:
-                yield held[1], held[2], text
-            held = None if guest else (bucket, doc_id, text)
+                yield *held[1:], text
+            held = None if guest else (bucket, doc_id, turn, text)
 
 
-_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_EDITED = "doc_id long, node long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def edited_text(text: str, following: str) -> str:
@@ -186,12 +186,12 @@ def _edit_rows(rows: list[tuple]) -> pa.RecordBatch:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     own: tuple[str, np.ndarray] | None = None
-    for doc_id, text, following in _with_next(batches):
+    for doc_id, node, text, following in _with_next(batches):
         mine = own[1] if own is not None and own[0] == text else signature(text)
         edited = edited_text(text, following)
         new, own = signature(edited), (following, signature(following))
         digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
-        rows.append((doc_id, len(text), digest, to_hex(mine), to_hex(new), likeness(mine, new), likeness(mine, own[1])))
+        rows.append((doc_id, node, len(text), digest, to_hex(mine), to_hex(new), likeness(mine, new), likeness(mine, own[1])))
         if len(rows) >= 1_000:
             yield _edit_rows(rows)
             rows = []
@@ -199,22 +199,26 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edit_rows(rows)
 
 
-def compare_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Fingerprints of each document, of its edited text and their likeness, and the likeness to the next document's."""
+def _edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = buckets or max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    alone = docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    alone = docs.where("doc_id is null").select(F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     return in_order(docs, buckets).mapInArrow(_compared, _EDITED).union(alone.mapInArrow(_without_next, _EDITED))
 
 
+def compare_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Fingerprints of each document, of its edited text and their likeness, and the likeness to the next document's."""
+    return _edits(docs, buckets).drop("node")
+
+
 def _without_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows without an id: the edited text loses its last half, and there is no next document to be like."""
     for batch in batches:
-        for text in batch.column("text").to_pylist():
+        for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True):
             mine, edited = signature(text), edited_text(text, "")
             new = signature(edited)
             digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
-            yield _edit_rows([(None, len(text), digest, to_hex(mine), to_hex(new), likeness(mine, new), None)])
+            yield _edit_rows([(None, node, len(text), digest, to_hex(mine), to_hex(new), likeness(mine, new), None)])
 
 
 # Near duplicates.
@@ -335,14 +339,18 @@ def _across(members: DataFrame, sets: DataFrame, roots: DataFrame, similarity: f
     return save(sorted_.mapInArrow(lambda batches: _in_groups(batches, similarity), "a long, b long"), "minhash-across")
 
 
-def _with_components(docs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """``marked`` (doc_id, node, fingerprint and others, stored) with component_id in place of node."""
-    bands = marked.select("node", F.explode(_band_keys("fingerprint")).alias("band"))
+def _node() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")
+
+
+def _names(docs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """(node, component_id) of texts that are copied or linked, from ``marked`` (doc_id, node, band keys)."""
+    bands = marked.select("node", F.explode("keys").alias("band"))
     ends = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    shared = ends.where("pivot <> last").select("band", "pivot")
+    shared = save(ends.where("pivot <> last").select("band", "pivot"), "minhash-shared")
     members = save(bands.join(shared, "band").select("band", "node", "pivot").distinct(), "minhash-bands")
-    held = members.groupBy("node").agg(F.collect_list("band").alias("bands"))
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(held.select("node"), "node", "left_semi")
+    held = save(members.groupBy("node").agg(F.collect_list("band").alias("bands")), "minhash-held")
+    texts = docs.select(_node(), "text").join(held.select("node"), "node", "left_semi")
     whole = texts.dropDuplicates(["node"]).select("node", _shingle_sets("text").alias("shingles"))
     sets = save(whole.join(held, "node").select("node", "shingles", "bands", F.size("shingles").alias("n")), "minhash-sets")
     pairs = members.where("node <> pivot").select("node", "pivot").distinct()
@@ -353,16 +361,28 @@ def _with_components(docs: DataFrame, marked: DataFrame, similarity: float) -> D
     further = _across(members, sets, roots, similarity)
     if further is not None:
         roots = components(links.union(further))
-    # Only copies and linked texts are named by the join; the rest are alone.
     counted = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(roots, "node", "left")
     grouped = save(counted.where("copies > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "least"), "minhash-groups")
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = save(grouped.join(smallest, "root").select("node", "component_id"), "minhash-components")
-    kept = [c for c in marked.columns if c != "node"]
-    return marked.join(named, "node", "left").select(*kept, F.coalesce("component_id", "doc_id").alias("component_id"))
+    return save(grouped.join(smallest, "root").select("node", "component_id"), "minhash-components")
+
+
+def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with component_id in place of node; texts without a name are alone."""
+    kept = [c for c in rows.columns if c != "node"]
+    return rows.join(names, "node", "left").select(*kept, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest doc_id that verified links lead to."""
-    marked = save(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), fingerprint(F.col("text")).alias("fingerprint")), "minhash-docs")
-    return _with_components(docs, marked, similarity)
+    marked = save(docs.select("doc_id", _node(), fingerprint(F.col("text")).alias("fingerprint")), "minhash-docs")
+    return _named(marked, _names(docs, marked.select("doc_id", "node", _band_keys("fingerprint").alias("keys")), similarity))
+
+
+def compare_and_group(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``compare_edits`` with the component_id of ``near_duplicates`` as a further column.
+
+    The groups need band keys only, so the edits are computed last and not stored.
+    """
+    marked = save(docs.select("doc_id", _node(), _band_keys(fingerprint(F.col("text"))).alias("keys")), "minhash-docs")
+    return _named(_edits(docs), _names(docs, marked, similarity))

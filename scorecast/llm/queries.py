@@ -186,4 +186,4 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_minhash")
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.compare_edits(table(spark, sf_dir, "documents"))
+    return minhash.compare_and_group(table(spark, sf_dir, "documents"))

@@ -468,6 +468,24 @@ def test_two_families_joined_by_one_link_stay_one_group(spark, monkeypatch, bloc
     assert got == {doc_id: doc_id // 1_000 * 1_000 for doc_id, _ in rows}
 
 
+def test_registered_query_reports_near_duplicates(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    sets = [set(minhash.shingle_hashes(r["text"]).tolist()) for r in docs]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = brute_components(len(docs), linked)
+    smallest = {root: min(docs[k]["doc_id"] for k in range(len(docs)) if roots[k] == root) for root in set(roots)}
+    got = queries.QUERIES["op10_minhash"](spark, SF)
+    assert got.columns[:-1] == minhash.compare_edits(spark.read.parquet(f"{SF}/documents.parquet")).columns
+    assert dict(ordered(got.select("doc_id", "component_id"))) == {docs[k]["doc_id"]: smallest[roots[k]] for k in range(len(docs))}
+
+
+def test_compare_and_group_agrees_with_its_parts(documents, nothing):
+    got = minhash.compare_and_group(documents)
+    assert ordered(got.drop("component_id")) == ordered(minhash.compare_edits(documents))
+    assert ordered(got.select("doc_id", "fingerprint", "component_id")) == ordered(minhash.near_duplicates(documents))
+    assert minhash.compare_and_group(nothing).count() == 0
+
+
 # pipeline
 
 
