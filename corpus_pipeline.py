@@ -41,11 +41,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group, once; rows without doc_id stay."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").select(*_columns(docs)).dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
+    """One row of each group: the smallest doc_id, or none if no row has one, then the smallest hash of the text and of the row."""
+    turn, row = fresh(docs, "turn"), fresh(docs, "row_hash")
+    keyed = docs.withColumns({turn: F.xxhash64(F.coalesce("text", F.lit(""))), row: F.xxhash64(*_columns(docs))})
+    marked = save(keyed.select("doc_id", turn, row, simhash.simhash(F.col("text")).alias("fp")), "simhash-docs")
+    named = marked.join(simhash.roots(marked.select("doc_id", "fp")).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", turn, row)).alias("first")
+    kept = named.groupBy("root").agg(first).select(f"first.{turn}", f"first.{row}")
+    return keyed.join(kept, [turn, row]).dropDuplicates([turn, row]).select(*_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

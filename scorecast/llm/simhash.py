@@ -223,13 +223,18 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(within, "a long, b long")
 
 
+def roots(marked: DataFrame) -> DataFrame:
+    """(fp, first_doc, root) of every fingerprint of ``marked`` (doc_id, fp): its smallest doc_id and the fingerprint that names its group."""
+    prints = save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-prints")
+    found = components(links(prints.select("fp")))
+    named = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    return save(named, "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row: the fingerprint and the smallest doc_id reachable by links."""
     marked = save(docs.select("doc_id", simhash(F.col("text")).alias("fp")), "simhash-docs")
-    prints = save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-prints")
-    roots = components(links(prints.select("fp")))
-    named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    named = save(named, "simhash-roots")
+    named = roots(marked)
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     by_print = save(named.join(smallest, "root").select("fp", "component_id"), "simhash-components")
     return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")

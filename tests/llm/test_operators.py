@@ -499,6 +499,21 @@ def test_stages_keep_columns_and_stand_odd_rows(spark, wide, nothing):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == kept
 
 
+def test_one_row_of_each_group_stays(spark, documents):
+    """Repeated ids with different texts, and rows without id."""
+    docs = documents.union(spark.createDataFrame([(None, "no id here at all", "en", "hot", 17), (None, "twice the same row", "en", "b", 18)], documents.schema))
+    rows = [tuple(r) for r in docs.collect()]
+    prints = [brute_fingerprint(r[1] or "") for r in rows]
+    root = brute_components(len(rows), [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    turns = [r[0] for r in docs.select(F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    first = {}
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, turns[k])):
+        first.setdefault(root[k], rows[k][:2])
+    got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted(((i, t or "") for i, t in first.values()), key=repr)
+    assert sum(i == 205 for i, _ in got) == 2
+
+
 def test_pipeline_matches_stages_done_by_hand(spark, tokens):
     """From the toxicity stage's result on, every stage is done again in plain Python."""
     documents = spark.read.parquet(f"{SF}/documents.parquet")
