@@ -131,6 +131,28 @@ def duplicate_price_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_keys(ops.price_table(views.prices(spark, sf_dir)), ["merge_name"])
 
 
+@register(
+    "ambiguous_names",
+    views.with_sql(
+        "rosters prices best_prices",
+        """
+  , players AS (
+      SELECT trim(regexp_replace(regexp_replace(lower(player_name), '[^a-z0-9\\s]', '', 'g'),
+                                 '\\s(jr|sr|ii|iii|iv)$', '')) AS merge_name, count(DISTINCT player_id) AS n_players
+      FROM rosters GROUP BY ALL)
+  SELECT 'names_with_several_prices' AS doubt, merge_name, n_prices AS n_rows FROM best_prices WHERE n_prices > 1
+  UNION ALL
+  SELECT 'names_of_several_players', merge_name, n_players FROM players WHERE n_players > 1
+""",
+    ),
+)
+def ambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = ops.price_table(views.prices(spark, sf_dir))
+    several = duplicate_keys(prices, ["merge_name"]).select(F.lit("names_with_several_prices").alias("doubt"), "merge_name", "n_rows")
+    shared = ops.shared_names(views.rosters(spark, sf_dir))
+    return several.union(shared.select(F.lit("names_of_several_players"), "merge_name", "n_players"))
+
+
 # A probability made from the key stands in for a model, so that SQL can check the ranking.
 def formula_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.rosters(spark, sf_dir).where("listing = 1").select(

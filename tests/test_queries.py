@@ -30,6 +30,12 @@ def test_query_matches_sql(spark, connection, name):
     assert problem is None, problem
 
 
+def test_ambiguous_names_are_registered(spark, connection):
+    df = entry_module.queries()["ambiguous_names"](spark, SF_DIR)
+    assert difference(df, connection, ORACLE["ambiguous_names"]) is None
+    assert df.where("doubt = 'names_with_several_prices'").count() > 0
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.count() > 0
