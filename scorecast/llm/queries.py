@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecast.llm import bpe, embedding_dedup, kd_shards, line_dedup, minhash, mixing, quality, simhash, toxicity, url_filter
+from scorecast.llm import (
+    backoff,
+    bpe,
+    embedding_dedup,
+    kd_shards,
+    line_dedup,
+    minhash,
+    mixing,
+    phrases,
+    quality,
+    simhash,
+    spelling,
+    toxicity,
+    url_filter,
+)
 from scorecast.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,3 +201,128 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_minhash")
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_and_group(table(spark, sf_dir, "documents"))
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# The 64 letters beyond ASCII as signs of one byte, since DuckDB's levenshtein counts bytes.
+BEYOND = "".join(map(chr, range(0xC0, 0x100)))
+SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.islower() and c not in "'\\")[:64]
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a string's UTF-8 bytes."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT"
+    bytes_ = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: {byte})"
+    shifts = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || {bytes_}, lambda c, b: {shifts}))"
+
+
+@register(
+    "op11_spelling",
+    f"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, {LOWER.format("run")} AS run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+        WHERE length(run) >= 6 GROUP BY ALL
+    ), hashed AS (
+        SELECT run, n, {crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs
+    ), marked AS (
+        SELECT n, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed
+    ), words AS (
+        SELECT word, sum(n)::BIGINT AS n, translate(word, '{BEYOND}', '{SIGNS}') AS plain
+        FROM marked WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ), keys AS (
+        SELECT word, n, plain, plain AS key FROM words
+        UNION
+        SELECT word, n, plain, left(plain, i) || substr(plain, i + 2) FROM (SELECT *, unnest(range(length(plain)))::INT AS i FROM words)
+    ), near AS (
+        SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n
+        FROM keys a JOIN keys b USING (key) WHERE a.word <> b.word AND levenshtein(a.plain, b.plain) = 1
+    ), best AS (
+        SELECT word, n, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word, n
+    ), forms AS (
+        SELECT word, n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM best
+    ), paths(word, last, steps) AS (
+        SELECT word, form, 1 FROM forms WHERE form IS NOT NULL
+        UNION ALL
+        SELECT p.word, f.form, p.steps + 1 FROM paths p JOIN forms f ON f.word = p.last WHERE f.form IS NOT NULL
+    ), roots AS (
+        SELECT word, arg_max(last, steps) AS root FROM paths GROUP BY word
+    )
+    SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(f.n_near, 0)::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+    FROM words w LEFT JOIN forms f USING (word) LEFT JOIN roots r USING (word)
+    """,
+)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op12_backoff",
+    rf"""
+    WITH split AS (
+        SELECT doc_id, coalesce({crc32_sql("doc_id::VARCHAR")} % 10 = 0, true) AS held_out,
+            regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') || [' '] AS l
+        FROM documents
+    ), tokens AS (
+        SELECT doc_id, held_out, l[i] AS w, CASE WHEN i = 1 THEN '' ELSE l[i - 1] END AS h
+        FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM split)
+    ), ones AS (
+        SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w
+    ), starts AS (
+        SELECT w, c FROM ones UNION ALL SELECT '', count(*) FROM split WHERE NOT held_out
+    ), twos AS (
+        SELECT h, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY h, w
+    ), sums AS (
+        SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM ones
+    ), each AS (
+        SELECT t.doc_id, t.held_out, n, coalesce(ones.c, 0) AS c, (coalesce(ones.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p,
+            coalesce(twos.c, 0) AS two, coalesce(starts.c, 0) AS one
+        FROM tokens t CROSS JOIN sums LEFT JOIN ones USING (w) LEFT JOIN twos ON twos.h = t.h AND twos.w = t.w LEFT JOIN starts ON starts.w = t.h
+    )
+    SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, (count(*) FILTER (WHERE c > 0))::BIGINT AS n_known, any_value(n)::BIGINT AS train_tokens,
+        round(sum(log10(p)), 6) AS base_score, round(sum(log10((two + {backoff.PRIOR}::DOUBLE * p) / (one + {backoff.PRIOR}::DOUBLE))), 6) AS score
+    FROM each GROUP BY doc_id, held_out
+    """,
+)
+def op12_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.score_texts(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+@register(
+    "op13_phrases",
+    rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+    ), split AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS l FROM pieces
+    ), grams AS (
+        SELECT lang, size, array_to_string(l[i:i + size - 1], ' ') AS phrase
+        FROM (SELECT lang, l, size, unnest(range(1, len(l) - size + 2)) AS i FROM split CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS size))
+    ), counts AS (
+        SELECT lang, size, phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+    ), totals AS (
+        SELECT lang, sum(len(l))::BIGINT AS n FROM split GROUP BY lang
+    ), candidates AS (
+        SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS l FROM counts WHERE size > 1
+    ), cuts AS (
+        SELECT c.lang, c.phrase, c.a, k, x.f AS left_f, y.f AS right_f, (2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+        JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.l[1:k], ' ')
+        JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.l[k + 1:], ' ')
+    ), worst AS (
+        SELECT lang, phrase, a, arg_min(left_f, (score, k)) AS l, arg_min(right_f, (score, k)) AS r, min(score) AS score FROM cuts GROUP BY lang, phrase, a
+    ), inner_phrases AS (
+        SELECT lang, a AS f, array_to_string(l[i:i + s - 1], ' ') AS phrase
+        FROM (SELECT *, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM candidates))
+    ), covered AS (
+        SELECT DISTINCT w.lang, w.phrase FROM worst w JOIN inner_phrases i ON i.lang = w.lang AND i.phrase = w.phrase WHERE 100 * i.f::HUGEINT >= 80 * w.a::HUGEINT
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst ANTI JOIN covered USING (lang, phrase)
+    )
+    SELECT r.lang, r.rank::BIGINT AS rank, r.phrase, r.a, r.l, r.r, t.n, r.score::BIGINT AS score FROM ranked r JOIN totals t USING (lang) WHERE r.rank <= 2000
+    """,
+)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
