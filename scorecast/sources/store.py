@@ -4,15 +4,20 @@ Writing a table once cuts the lineage, survives lost executors and gives the
 optimiser the true file size, so that it broadcasts the table in later joins
 only while it stays under spark.sql.autoBroadcastJoinThreshold. The tables of
 an application lie in one folder named after it, to be removed after the run.
+
+What a job shuffled is of no use once its table is written, so Spark is told
+to remove these files as soon as the job ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import threading
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from scorecast.session import shared_folder, side_by_side
@@ -23,6 +28,30 @@ def _new_path(df: DataFrame, name: str) -> str:
     return f"{shared_folder(spark)}/scorecast/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing: dict[int, tuple[int, str]] = {}  # by session: writes under way, and the setting before them
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs inside are removed when each ends; the session's own setting comes back afterwards."""
+    with _lock:
+        count, before = _writing.get(id(spark), (0, ""))
+        before = before or spark.conf.get(_CLEANUP)
+        _writing[id(spark)] = (count + 1, before)
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            count, before = _writing.pop(id(spark))
+            if count > 1:
+                _writing[id(spark)] = (count - 1, before)
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def save(df: DataFrame, name: str, partition_by: str | None = None, rebalance: bool = False) -> DataFrame:
     """Write ``df`` and read it back.
 
@@ -35,10 +64,20 @@ def save(df: DataFrame, name: str, partition_by: str | None = None, rebalance: b
     if partition_by and rebalance:
         df = df.hint("rebalance", partition_by)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``save`` returned; nothing may read them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save_together(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
     """``save`` for tables that do not build on each other; their jobs run side by side and fill each other's gaps."""
     spark = next(iter(tables.values())).sparkSession
@@ -51,7 +90,8 @@ def save_split(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, DataFram
     Each half is read from its own folder, so each has its own size estimate.
     """
     path = _new_path(df, name)
-    df.write.partitionBy(flag).parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.partitionBy(flag).parquet(path)
     schema = StructType([field for field in df.schema.fields if field.name != flag])
     spark = df.sparkSession
 

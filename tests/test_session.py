@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from scorecast.errors import NoSharedFolderError
 from scorecast.session import shared_folder
-from scorecast.sources.store import save, save_split
+from scorecast.sources.store import release, save, save_split
 
 
 class Context:
@@ -55,3 +57,17 @@ def test_stored_tables(spark):
     assert sorted(r.a for r in yes.collect()) == [1, 3] and [r.a for r in no.collect()] == [2]
     _, none = save_split(df.where("flag"), "t", "flag")
     assert none.count() == 0 and none.columns == ["a", "t"]
+
+
+def test_the_cleanup_setting_comes_back(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    saved = save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "cleanup")
+    assert saved.count() == 7 and spark.conf.get(key) == before
+
+
+def test_released_tables_are_gone(spark):
+    first, second = save(spark.range(5).toDF("x"), "first"), save(spark.range(9).toDF("x"), "second")
+    folder = first.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    release(first)
+    assert not Path(folder).exists() and second.count() == 9
