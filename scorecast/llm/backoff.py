@@ -141,17 +141,18 @@ class Automaton:
 
     def scores(self, block: Block) -> list[float]:
         """For each text the sum of weights along its one path, read from left to right."""
-        order = len(self.weight)
-        arcs = [np.append(w, NO_ARC)[at].tolist() for w, at in zip(self.weight, block.found, strict=True)]
-        failures = [[], *(np.append(f, 0.0)[np.roll(at, 1)].tolist() for f, at in zip(self.failure[1:], block.found, strict=False))]
-        known = self.known[block.tokens].tolist()
+        deepest = len(self.weight) - 1
+        arcs = [np.append(w, NO_ARC)[at] for w, at in zip(self.weight, block.found, strict=True)]
+        failures = [np.zeros(len(block.tokens)), *(np.append(f, 0.0)[np.roll(at, 1)] for f, at in zip(self.failure[1:], block.found, strict=False))]
+        known = self.known[block.tokens]
         starts = block.starts.tolist()
-        return [self._score(arcs, failures, known, a + 1, b, order - 1) for a, b in zip(starts, starts[1:], strict=False)]
+        texts = (slice(a + 1, b) for a, b in zip(starts, starts[1:], strict=False))
+        return [self._score([a[t].tolist() for a in arcs], [f[t].tolist() for f in failures], known[t].tolist(), deepest) for t in texts]
 
-    def _score(self, arcs: list[list[float]], failures: list[list[float]], known: list[bool], start: int, end: int, deepest: int) -> float:
+    def _score(self, arcs: list[list[float]], failures: list[list[float]], known: list[bool], deepest: int) -> float:
         total = 0.0
         words = min(1, deepest)  # of the state: a text begins in the state of START
-        for place in range(start, end):
+        for place, word_known in enumerate(known):
             while words:
                 arc = arcs[words][place]
                 if arc != NO_ARC:
@@ -161,7 +162,7 @@ class Automaton:
             else:
                 arc = arcs[0][place]
             total += arc
-            if words < deepest and (words or known[place]):
+            if words < deepest and (words or word_known):
                 words += 1
         return total
 
