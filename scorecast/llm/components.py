@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecast.sources.store import save
+from scorecast.sources.store import release, save
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,5 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or state[0] == 0:
             break
         seen = state
-        edges = save(_small_star(_large_star(edges)), "links")
+        before, edges = edges, save(_small_star(_large_star(edges)), "links")
+        release(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

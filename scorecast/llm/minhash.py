@@ -5,14 +5,16 @@ theirs. ``PERMUTATIONS`` universal hash functions are applied to all shingles
 in numpy and their minima are the fingerprint. The share of equal minima of
 two fingerprints estimates the Jaccard similarity of their shingle sets.
 
-Near duplicates: fingerprints are cut into bands, and texts with an equal band
-are a group. Every member is first compared with the group's smallest one.
+Near duplicates: fingerprints are cut into bands, as many minima each as the
+asked similarity allows without missing more than ``MISS`` of the pairs at it,
+and texts with an equal band are a group. Every member is first compared with the group's smallest one.
 Groups whose members are then not all connected are compared in full: every
 pair of members that are not connected yet, in the first band that both share.
-Groups beyond ``BLOCK`` texts or ``BLOCK_SHINGLES`` shingles are cut into
+Groups beyond ``BLOCK`` texts or ``BLOCK_BYTES`` of text are cut into
 blocks, and each pair of blocks is a group of its own. A group reports links
 that connect, never its pairs. A comparison takes the Jaccard similarity of
-the whole shingle sets, and copies are compared once.
+the whole shingle sets, and copies are compared once. Texts travel compressed
+and are hashed where they are compared.
 
 Defined results: A-Z and other letters in lower case; a null text is empty;
 a text of fewer than five words is one shingle; texts without words have a
@@ -24,26 +26,28 @@ Other columns are left alone.
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 
 from scorecast.llm.common import key_runs
 from scorecast.llm.components import components
-from scorecast.sources.store import save
+from scorecast.sources.store import release, save
 
 SHINGLE_WORDS = 5
 PERMUTATIONS = 128
-BAND_ROWS = 4
 SIMILARITY = 0.8
+MISS = 1e-6  # of a pair exactly at the threshold: at 0.8 it gives 32 bands of 4 minima, which miss 5e-8
 BLOCK = 512
-BLOCK_SHINGLES = 1 << 20
+BLOCK_BYTES = 6 << 20
 _SEED = 7
 _BLOCK = 2_048
 _RANDOM = np.random.default_rng(_SEED)
@@ -97,12 +101,12 @@ def signature(text: str | None) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def to_hex(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u4").tobytes().hex()
+def _bytes(fingerprint: np.ndarray) -> bytes:
+    return fingerprint.astype(">u4").tobytes()
 
 
-def from_hex(digits: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(digits), dtype=">u4").astype(np.uint32)
+def to_hex(fingerprint: np.ndarray) -> str:
+    return _bytes(fingerprint).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -111,49 +115,67 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint(text: Column) -> Column:
-    """The fingerprint as hex digits."""
+    """The fingerprint as bytes, four for each minimum."""
 
-    @F.pandas_udf(StringType())
+    @F.pandas_udf(BinaryType())
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([to_hex(signature(t)) for t in texts], dtype=object)
+        return pd.Series([_bytes(signature(t)) for t in texts], dtype=object)
 
     return of(text)
 
 
+def hex_digits(fingerprint: Column) -> Column:
+    return F.lower(F.hex(fingerprint))
+
+
+# Texts on the way.
+
+
+def packed(text: str) -> bytes:
+    return zstandard.compress(text.encode("utf-8", "replace"), 3)
+
+
+def unpacked(data: bytes) -> str:
+    return zstandard.decompress(data).decode()
+
+
 # Neighbours in the order of ids.
 
 
 def in_order(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, turn, doc_id, text, guest): documents in ascending order within buckets of consecutive ids.
+    """(bucket, turn, doc_id, text, guest): documents in ascending order within buckets of consecutive ids, texts compressed.
 
-    Bucket borders are quantiles of the ids. The first document of each
-    bucket is a guest at the end of the one before, and the very first at the
-    end of the last, so that each document's successor is in its bucket. The
-    text moves once, and only one document of each bucket moves twice.
+    Bucket borders are quantiles of the ids; each is itself an id, the first
+    of its bucket. The first document of each bucket is a guest at the end of
+    the one before, and the very first at the end of the last, so that each
+    document's successor is in its bucket. The text moves once, and only one
+    document of each bucket moves twice. At most ``buckets`` ids reach the driver.
     """
-    ids = docs.select("doc_id")
-    ends = ids.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)] or [0.5], 100 * buckets)).first()[0] or []
-    borders = sorted(set(ends)) if buckets > 1 else []
-
-    def bucket_of(doc_id: Column) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in borders]), lambda b: b <= doc_id)) if borders else F.lit(0)
-
-    known = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed = known.withColumn("bucket", bucket_of(F.col("doc_id"))).withColumn("turn", F.xxhash64("text"))
-    firsts = [
-        (r["bucket"], r["first"])
-        for r in ids.where("doc_id is not null").groupBy(bucket_of(F.col("doc_id")).alias("bucket")).agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()
-    ]  # one row per bucket
-    hosts = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
-    host = F.lit(None).cast("int")
-    if hosts:
-        pairs = [F.lit(x) for first, bucket in hosts.items() for x in (int(first), int(bucket))]
-        host = F.element_at(F.create_map(*pairs), F.col("doc_id"))
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
-    both = F.when(host.isNull(), F.array(own)).otherwise(F.array(own, F.struct(host.alias("bucket"), F.lit(True).alias("guest"))))
-    spread = placed.select("doc_id", "text", "turn", F.explode(both).alias("at"))
-    columns = (F.col("at.bucket").alias("bucket"), F.col("at.guest").alias("guest"), "doc_id", "turn", "text")
-    return spread.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "guest", "doc_id", "turn")
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    shares = [k / buckets for k in range(1, buckets)] or [0.5]
+    low, ends = known.agg(F.min("doc_id"), F.percentile_approx("doc_id", shares, 100 * buckets)).first()
+    firsts = docs.sparkSession.sparkContext.broadcast(np.unique([x for x in (low, *(ends or [] if buckets > 1 else [])) if x is not None]).astype(np.int64))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders = firsts.value
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            bucket = np.searchsorted(borders, ids, side="right") - 1
+            guests = np.flatnonzero(borders[bucket] == ids)
+            rows = np.concatenate([np.arange(len(ids)), guests])
+            texts = pa.array([packed(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([bucket, (bucket[guests] - 1) % len(borders)]), pa.int32()),
+                    pa.array(np.arange(len(rows)) >= len(ids)),
+                    *(batch.column(c).take(pa.array(rows)) for c in ("doc_id", "turn")),
+                    texts.take(pa.array(rows)),
+                ],
+                names=["bucket", "guest", "doc_id", "turn", "text"],
+            )
+
+    spread = known.withColumn("turn", F.xxhash64("text")).mapInArrow(place, "bucket int, guest boolean, doc_id long, turn long, text binary")
+    return spread.repartition("bucket").sortWithinPartitions("bucket", "guest", "doc_id", "turn")
 
 
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str, str]]:
@@ -161,13 +183,14 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, st
     held: tuple[int, int, int, str] | None = None  # bucket, doc_id, turn, text
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "turn", "text"))
-        for bucket, guest, doc_id, turn, text in zip(*columns, strict=True):
+        for bucket, guest, doc_id, turn, data in zip(*columns, strict=True):
+            text = unpacked(data)
             if held is not None and bucket == held[0]:
                 yield *held[1:], text
             held = None if guest else (bucket, doc_id, turn, text)
 
 
-_EDITED = "doc_id long, node long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_EDITED = "doc_id long, node long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edited_text(text: str, following: str) -> str:
@@ -178,7 +201,7 @@ def edited_text(text: str, following: str) -> str:
 
 def _edit_rows(rows: list[tuple]) -> pa.RecordBatch:
     fields = [c.split() for c in _EDITED.split(", ")]
-    types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[kind] for _, kind in fields]
+    types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}[kind] for _, kind in fields]
     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
     return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
@@ -191,7 +214,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edited = edited_text(text, following)
         new, own = signature(edited), (following, signature(following))
         digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
-        rows.append((doc_id, node, len(text), digest, to_hex(mine), to_hex(new), likeness(mine, new), likeness(mine, own[1])))
+        rows.append((doc_id, node, len(text), digest, _bytes(mine), _bytes(new), likeness(mine, new), likeness(mine, own[1])))
         if len(rows) >= 1_000:
             yield _edit_rows(rows)
             rows = []
@@ -208,7 +231,11 @@ def _edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 def compare_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of each document, of its edited text and their likeness, and the likeness to the next document's."""
-    return _edits(docs, buckets).drop("node")
+    return _readable(_edits(docs, buckets).drop("node"))
+
+
+def _readable(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: hex_digits(F.col(c)) for c in rows.columns if c.endswith("fingerprint")})
 
 
 def _without_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,35 +245,67 @@ def _without_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             mine, edited = signature(text), edited_text(text, "")
             new = signature(edited)
             digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
-            yield _edit_rows([(None, node, len(text), digest, to_hex(mine), to_hex(new), likeness(mine, new), None)])
+            yield _edit_rows([(None, node, len(text), digest, _bytes(mine), _bytes(new), likeness(mine, new), None)])
 
 
 # Near duplicates.
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _band_keys(fingerprints: pd.Series) -> pd.Series:
-    def keys(digits: str) -> np.ndarray:
-        rows = from_hex(digits).reshape(-1, BAND_ROWS)
-        return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64).view(np.int64)
+def band_rows(similarity: float, miss: float = MISS) -> int:
+    """The most minima a band can have so that a pair at ``similarity`` shares no band with probability ``miss`` at most."""
+    fits = [r for r in range(1, 33) if (1 - similarity**r) ** (PERMUTATIONS // r) <= miss]
+    return max(fits, default=1)
 
-    return pd.Series([keys(f) for f in fingerprints], dtype=object)
 
+def band_keys(fingerprint: Column, rows: int) -> Column:
+    """A hash of each band of ``rows`` minima."""
 
-@F.pandas_udf(ArrayType(LongType()))
-def _shingle_sets(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(shingle_hashes(t)).view(np.int64) for t in texts], dtype=object)
+    @F.pandas_udf(ArrayType(LongType()))
+    def of(fingerprints: pd.Series) -> pd.Series:
+        if not len(fingerprints):
+            return pd.Series([], dtype=object)
+        minima = np.frombuffer(b"".join(fingerprints), dtype=">u4").reshape(len(fingerprints), PERMUTATIONS).astype(np.uint64)
+        bands = minima[:, : PERMUTATIONS // rows * rows].reshape(len(fingerprints), -1, rows)
+        keys = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64) * _FACTORS[1], bands.shape[:2]).copy()
+        for k in range(rows):
+            keys = (keys ^ (keys >> np.uint64(29)) ^ bands[:, :, k]) * _FACTORS[2 + k]
+        return pd.Series(list((keys ^ (keys >> np.uint64(32))).view(np.int64)), dtype=object)
+
+    return of(fingerprint)
+
+
+class ShingleSets(OrderedDict):
+    """Shingle sets of texts by name; the last ones used are kept, up to a number of shingles."""
+
+    def __init__(self, most: int = 1 << 21) -> None:
+        super().__init__()
+        self.most, self.size = most, 0
+
+    def of(self, node: int, data: bytes) -> np.ndarray:
+        if node in self:
+            self.move_to_end(node)
+            return self[node]
+        found = np.unique(shingle_hashes(unpacked(data)))
+        self[node] = found
+        self.size += len(found)
+        while self.size > self.most and len(self) > 1:
+            self.size -= len(self.popitem(last=False)[1])
+        return found
+
+
+_SETS = ShingleSets()
 
 
 @F.pandas_udf(DoubleType())
-def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+def _jaccard(node: pd.Series, a: pd.Series, pivot: pd.Series, b: pd.Series) -> pd.Series:
     def similarity(x: np.ndarray, y: np.ndarray) -> float:
         if not len(x) or not len(y):
             return float(len(x) == len(y))
         common = len(np.intersect1d(x, y, assume_unique=True))
         return common / (len(x) + len(y) - common)
 
-    return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)])
+    # The pivot first: many texts in a row have the same one, and it stays while theirs pass.
+    return pd.Series([similarity(_SETS.of(q, y), _SETS.of(p, x)) for p, x, q, y in zip(node, a, pivot, b, strict=True)])
 
 
 class _Sets:
@@ -312,55 +371,71 @@ def _in_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
         if labels.max() == 0:
             continue
         node, block = group.column("node").to_numpy(), group.column("block").to_numpy()
-        sets = [s.values.to_numpy() for s in group.column("shingles")]
+        sets = [_SETS.of(k, t) for k, t in zip(node.tolist(), group.column("text").to_pylist(), strict=True)]
         bands = [b[b < band] for b in (s.values.to_numpy() for s in group.column("bands"))]
-        links = connecting(_Sets(sets), _Sets(bands), labels, None if one == two else block, similarity)
+        links = connecting(_Sets([s.view(np.int64) for s in sets]), _Sets(bands), labels, None if one == two else block, similarity)
         if links:
             a, b = np.array(links).T
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
 
-def _across(members: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame | None:
+def _across(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame | None:
     """Links (a, b) within bands whose members do not all have one root yet; None if there are no such bands."""
     placed = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sums = placed.join(sets.select("node", "n"), "node").groupBy("band").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("count"), F.sum("n").alias("n")
+    sums = placed.join(texts.select("node", "size"), "node").groupBy("band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("count"), F.sum("size").alias("size")
     )
-    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("size") / BLOCK_BYTES)).cast("int")
     mixed = save(sums.where("low <> high").select("band", blocks.alias("blocks")), "minhash-mixed")
     if mixed.isEmpty():
         return None
     dealt = placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     columns = ["band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")]
-    groups = met.select(*columns, "block", "node", "root").join(sets.drop("n"), "node")
+    groups = met.select(*columns, "block", "node", "root").join(texts.drop("size"), "node")
     keys = ("band", "one", "two")
     sorted_ = groups.repartition(*keys).sortWithinPartitions(*keys)
-    return save(sorted_.mapInArrow(lambda batches: _in_groups(batches, similarity), "a long, b long"), "minhash-across")
+    links = save(sorted_.mapInArrow(lambda batches: _in_groups(batches, similarity), "a long, b long"), "minhash-across")
+    release(mixed)
+    return links
 
 
 def _node() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")
 
 
+def _packed_texts(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, text, size) of the distinct texts in ``held``; texts are compressed before they are shuffled."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([packed(t or "") for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), texts, batch.column("size")], names=["node", "text", "size"])
+
+    wanted = docs.select(_node(), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).join(held.select("node"), "node", "left_semi")
+    return wanted.mapInArrow(pack, "node long, text binary, size long").dropDuplicates(["node"])
+
+
 def _names(docs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """(node, component_id) of texts that are copied or linked, from ``marked`` (doc_id, node, band keys)."""
-    bands = marked.select("node", F.explode("keys").alias("band"))
+    """(node, component_id) of texts that are copied or linked, from ``marked`` (doc_id, node, fingerprint)."""
+    keys = band_keys(F.col("fingerprint"), band_rows(similarity))
+    bands = save(marked.select("node", F.explode(keys).alias("band")), "minhash-keys")
     ends = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
     shared = save(ends.where("pivot <> last").select("band", "pivot"), "minhash-shared")
     members = save(bands.join(shared, "band").select("band", "node", "pivot").distinct(), "minhash-bands")
+    release(bands, shared)
     held = save(members.groupBy("node").agg(F.collect_list("band").alias("bands")), "minhash-held")
-    texts = docs.select(_node(), "text").join(held.select("node"), "node", "left_semi")
-    whole = texts.dropDuplicates(["node"]).select("node", _shingle_sets("text").alias("shingles"))
-    sets = save(whole.join(held, "node").select("node", "shingles", "bands", F.size("shingles").alias("n")), "minhash-sets")
+    texts = save(_packed_texts(docs, held).join(held, "node"), "minhash-texts")
     pairs = members.where("node <> pivot").select("node", "pivot").distinct()
-    left, right = sets.select("node", F.col("shingles").alias("a")), sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("b"))
-    near = pairs.join(left, "node").join(right, "pivot").where(_jaccard("a", "b") >= similarity)
+    left, right = texts.select("node", F.col("text").alias("a")), texts.select(F.col("node").alias("pivot"), F.col("text").alias("b"))
+    near = pairs.join(left, "node").join(right, "pivot").where(_jaccard("node", "a", "pivot", "b") >= similarity)
     links = save(near.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "minhash-links")
     roots = components(links)
-    further = _across(members, sets, roots, similarity)
+    further = _across(members, texts, roots, similarity)
     if further is not None:
         roots = components(links.union(further))
+        release(further)
+    release(members, held, texts, links)
     counted = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(roots, "node", "left")
     grouped = save(counted.where("copies > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "least"), "minhash-groups")
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -370,19 +445,19 @@ def _names(docs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
 def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
     """``rows`` with component_id in place of node; texts without a name are alone."""
     kept = [c for c in rows.columns if c != "node"]
-    return rows.join(names, "node", "left").select(*kept, F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _readable(rows.join(names, "node", "left").select(*kept, F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest doc_id that verified links lead to."""
     marked = save(docs.select("doc_id", _node(), fingerprint(F.col("text")).alias("fingerprint")), "minhash-docs")
-    return _named(marked, _names(docs, marked.select("doc_id", "node", _band_keys("fingerprint").alias("keys")), similarity))
+    return _named(marked, _names(docs, marked, similarity))
 
 
 def compare_and_group(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``compare_edits`` with the component_id of ``near_duplicates`` as a further column.
 
-    The groups need band keys only, so the edits are computed last and not stored.
+    The edits come first and are stored, so that the groups reuse their fingerprints.
     """
-    marked = save(docs.select("doc_id", _node(), _band_keys(fingerprint(F.col("text"))).alias("keys")), "minhash-docs")
-    return _named(_edits(docs), _names(docs, marked, similarity))
+    edits = save(_edits(docs), "minhash-edits")
+    return _named(edits, _names(docs, edits, similarity))

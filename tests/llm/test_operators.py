@@ -415,6 +415,35 @@ def test_edits_match_brute_force(documents, nothing):
     assert minhash.compare_edits(nothing).count() == 0
 
 
+def test_signature_matches_a_plain_loop():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 4, 5, 300):
+        text = " ".join(f"w{i}" for i in rng.integers(0, 99, n))
+        shingles = [int(x) for x in minhash.shingle_hashes(text)]
+        expected = [min(((int(f) * (x >> 32) + int(c)) % 2**64 for x in shingles), default=2**64 - 1) >> 32 for f, c in zip(minhash._FACTORS, minhash._SHIFTS, strict=True)]
+        assert minhash.signature(text).tolist() == expected and len(expected) == 128
+
+
+def test_bands_follow_the_similarity():
+    assert [minhash.band_rows(s) for s in (0.9, 0.8, 0.5, 0.3)] == [6, 4, 2, 1]
+    for s in (0.3, 0.5, 0.8, 0.95):
+        rows = minhash.band_rows(s)
+        assert (1 - s**rows) ** (128 // rows) <= minhash.MISS or rows == 1
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.3])
+def test_recall_of_pairs_below_the_usual_similarity(spark, similarity):
+    rng = np.random.default_rng(13)
+    rows = []
+    for k in range(60):
+        words = [f"p{k}_{i}" for i in range(400)]
+        # A run of other words at the end: Jaccard just above the threshold.
+        kept = int(2 * similarity / (1 + similarity) * 396) + 6
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:kept] + [f"q{k}_{i}" for i in rng.permutation(400 - kept)]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity).select("doc_id", "component_id").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in rng.integers(0, 5_000, 2_000)]
