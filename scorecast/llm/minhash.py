@@ -40,6 +40,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 
 from scorecast.llm.common import key_runs
 from scorecast.llm.components import components
+from scorecast.llm.hash_filter import hash_filter, may_hold
 from scorecast.sources.store import release, save
 
 SHINGLE_WORDS = 5
@@ -405,15 +406,20 @@ def _node() -> Column:
 
 
 def _packed_texts(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(node, text, size) of the distinct texts in ``held``; texts are compressed before they are shuffled."""
+    """(node, text, size) of the distinct texts in ``held``, and of few others that a filter of fixed size lets through.
+
+    Only these are compressed and shuffled.
+    """
+    members = hash_filter(held, "node")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([packed(t or "") for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), texts, batch.column("size")], names=["node", "text", "size"])
+            rows = pa.array(np.flatnonzero(may_hold(members.value, batch.column("node").to_numpy())))
+            texts = [t or "" for t in batch.column("text").take(rows).to_pylist()]
+            columns = [batch.column("node").take(rows), pa.array([packed(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "text", "size"])
 
-    wanted = docs.select(_node(), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).join(held.select("node"), "node", "left_semi")
-    return wanted.mapInArrow(pack, "node long, text binary, size long").dropDuplicates(["node"])
+    return docs.select(_node(), "text").mapInArrow(pack, "node long, text binary, size long").dropDuplicates(["node"])
 
 
 def _names(docs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
