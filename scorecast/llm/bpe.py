@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from scorecast.llm.common import fresh, key_runs
+from scorecast.sources.store import save
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -288,14 +289,17 @@ def encode(docs: DataFrame, path: str, ids: str = "ids", piece_chars: int = PIEC
 
     ``decoded`` names one more column, the text that the ids decode to. It is
     made where the ids are, so that a task needs one Python worker; ``decode``
-    after ``encode`` in one stage needs two, with a vocabulary each.
+    after ``encode`` in one stage needs two, with a vocabulary each. Columns of
+    ``docs`` that have these names are replaced. Rows may come in any order and
+    from any plan: long texts are stored once, with a number each.
     """
+    docs = docs.drop(ids, *([decoded] if decoded else []))
     names = [f"`{c}`" for c in docs.columns]
     is_long = F.char_length(F.coalesce("text", F.lit(""))) > piece_chars
     short = _with_ids(docs.where(~is_long), "text", ids, path, decoded)
     row, found = fresh(docs, "row"), fresh(docs, "found")
-    # A long text is named by its place in the input; a task that is run again names it alike.
-    long = docs.where(is_long).withColumn(row, F.monotonically_increasing_id())
+    # Stored, so that the pieces and the rows they return to carry the same numbers.
+    long = save(docs.where(is_long).withColumn(row, F.monotonically_increasing_id()), "bpe-long")
     pieces = long.select(row, "text").mapInArrow(lambda b: _cut(b, piece_chars), "row long, piece long, joined boolean, part string")
     encoded = _with_ids(pieces.repartition("row", "piece"), "part", "ids", path).drop("part")
     whole = encoded.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(lambda b: _joined(b, path), "row long, ids array<int>")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from scorecast.llm import bpe, common, components, embedding_dedup, kd_shards, line_dedup, minhash, mixing, quality, queries, simhash, toxicity, url_filter
@@ -259,6 +260,20 @@ def test_pieces_join_to_the_whole(tokens):
         assert got.tolist() == tool.whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_texts_keep_their_rows_after_a_shuffle(spark, tokens):
+    tool = Tokenizer.from_file(tokens)
+    rows = [(i, f"text number {i} " * 6_000, "w" * 200, [7], "old") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, filler string, ids array<int>, decoded string").repartition("doc_id")
+    got = bpe.encode(docs, tokens, piece_chars=20_000, decoded="decoded")
+    assert sorted(got.columns) == ["decoded", "doc_id", "filler", "ids", "text"]
+    found = {r["doc_id"]: (r["ids"], r["decoded"]) for r in got.collect()}
+    assert len(found) == 60 and got.count() == 60
+    for i, text, *_ in rows[::7]:
+        ids = tool.encode(text, add_special_tokens=False).ids
+        assert found[i] == (ids, tool.decode(ids, skip_special_tokens=False))
+    assert all(decoded.startswith(f"text number {i} ") for i, (_, decoded) in found.items())
+
+
 # 6 mixing
 
 
