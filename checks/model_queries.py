@@ -19,8 +19,10 @@ from scorecast.operators.models import (
     class_weights,
     importances,
     with_probability,
+    with_weight,
 )
 from scorecast.operators.search import prepare, random_search
+from scorecast.operators.tree_tables import BoostSettings, TreeModel, fit_bins, fit_boosted, with_bins
 from scorecast.plans.backtest import stack, tune
 from scorecast.plans.feature_table import Histories, build_histories, features_from, opponent_codes
 from scorecast.plans.week_scores import PROBABILITY, score_week
@@ -229,6 +231,100 @@ def gbt_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stump_scores(spark, sf_dir, BOOSTED_TREES, {"maxIter": 1, "maxDepth": 1})
 
 
+# Two rounds of trees with three leaves, grown best first with L1 and L2, over the same features of few values.
+LEAFWISE = BoostSettings(rounds=2, learning_rate=0.3, leaves=3, l1=0.5, l2=1.0, min_rows=20)
+_FEW = ["few_carries", "few_targets", "week"]
+views.SQL["boost_cuts"] = f"""
+  SELECT f, cut, row_number() OVER (ORDER BY f, cut) AS place
+  FROM (SELECT f, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS cut
+        FROM (SELECT DISTINCT f, x[f] AS v FROM stump_rows, range(1, 4) r(f) WHERE season < {SEASON}))
+  WHERE cut IS NOT NULL
+"""
+views.SQL["boost_margins0"] = f"""
+  SELECT r.*, CASE WHEN label = 1 THEN lift ELSE 1 END AS w, ln(lift * positives / negatives) AS margin
+  FROM stump_rows r, (SELECT CAST(sum(1 - label) AS DOUBLE) / sum(label) AS lift, sum(label) AS positives, sum(1 - label) AS negatives
+                      FROM stump_rows WHERE season < {SEASON})
+"""
+
+
+def _pull(g: str) -> str:
+    return f"power(sign({g}) * greatest(abs({g}) - {LEAFWISE.l1}, 0), 2)"
+
+
+def _best_split(sums: str) -> str:
+    """The best split of each node of a table (node, f, v, g, h, n)."""
+    gain = f"{_pull('gl')} / (hl + {LEAFWISE.l2}) + {_pull('(ga - gl)')} / (ha - hl + {LEAFWISE.l2}) - {_pull('ga')} / (ha + {LEAFWISE.l2})"
+    return f"""
+  SELECT node, f, cut, round({gain}, 9) AS gain
+  FROM (SELECT c.f, c.cut, c.place, s.node, sum(g) FILTER (WHERE v <= cut) AS gl, sum(h) FILTER (WHERE v <= cut) AS hl, sum(n) FILTER (WHERE v <= cut) AS nl,
+               sum(g) AS ga, sum(h) AS ha, sum(n) AS na
+        FROM {sums} s JOIN boost_cuts c ON c.f = s.f GROUP BY ALL)
+  WHERE nl >= {LEAFWISE.min_rows} AND na - nl >= {LEAFWISE.min_rows} AND hl >= {LEAFWISE.min_hessian} AND ha - hl >= {LEAFWISE.min_hessian}
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, place) = 1
+"""
+
+
+def _round_sql(k: int) -> str:
+    """Names of the steps of one round, each over those before it."""
+    slopes = "w * (1 / (1 + exp(-margin)) - label) AS g, w / (1 + exp(-margin)) * (1 - 1 / (1 + exp(-margin))) AS h"
+    sums = f"SELECT {{}} AS node, f, x[f] AS v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {{}}, range(1, 4) r(f) WHERE season < {SEASON} GROUP BY ALL"
+    views.SQL[f"boost_slopes{k}"] = f"SELECT *, {slopes} FROM boost_margins{k - 1}"
+    views.SQL[f"boost_root_sums{k}"] = sums.format("0", f"boost_slopes{k}")
+    views.SQL[f"boost_root{k}"] = _best_split(f"boost_root_sums{k}")
+    views.SQL[f"boost_sides{k}"] = f"SELECT s.*, CASE WHEN x[f] <= cut THEN 1 ELSE 2 END AS side FROM boost_slopes{k} s, boost_root{k}"
+    views.SQL[f"boost_side_sums{k}"] = sums.format("side", f"boost_sides{k}")
+    views.SQL[f"boost_second{k}"] = f"SELECT * FROM ({_best_split(f'boost_side_sums{k}')}) WHERE gain > 0 ORDER BY gain DESC, node LIMIT 1"
+    views.SQL[f"boost_leaves{k}"] = f"""
+  SELECT s.*, CASE WHEN side <> node THEN side WHEN x[f] <= cut THEN 3 ELSE 4 END AS leaf FROM boost_sides{k} s, boost_second{k}
+"""
+    views.SQL[f"boost_values{k}"] = f"""
+  SELECT leaf, -{LEAFWISE.learning_rate} * sign(sum(g)) * greatest(abs(sum(g)) - {LEAFWISE.l1}, 0) / (sum(h) + {LEAFWISE.l2}) AS value
+  FROM boost_leaves{k} WHERE season < {SEASON} GROUP BY leaf
+"""
+    views.SQL[f"boost_margins{k}"] = f"""
+  SELECT {_KEYS}, label, x, w, margin + value AS margin FROM boost_leaves{k} JOIN boost_values{k} USING (leaf)
+"""
+    return " ".join(f"boost_{step}{k}" for step in "slopes root_sums root sides side_sums second leaves values margins".split())
+
+
+_LEAFWISE = f"{LABELLED} stump_rows boost_cuts boost_margins0 {_round_sql(1)} {_round_sql(2)}"
+
+
+def _leafwise(spark: SparkSession, sf_dir: str) -> tuple[TreeModel, DataFrame]:
+    few = {c: F.least(F.coalesce(c, F.lit(0.0)), F.lit(9.0)).alias(f"few_{c}") for c in ("carries", "targets")}
+    train, held_out = season_split(_labelled(spark, sf_dir).select(*ft.PLAYER_WEEK, ft.LABEL, *few.values()), SEASON)
+    bins = fit_bins(train, _FEW)
+    stored = save(with_bins(with_weight(train, ft.LABEL, "positive"), bins, [ft.LABEL, "weight"]), "boost-bins")
+    return fit_boosted(stored, bins, ft.LABEL, "weight", LEAFWISE), held_out
+
+
+@register(
+    "leafwise_boosting",
+    views.with_sql(_LEAFWISE, f"SELECT {_KEYS}, label AS scored_touchdown, round(1 / (1 + exp(-margin)), 6) AS {PROBABILITY} FROM boost_margins2 WHERE season = {SEASON}"),
+)
+def leafwise_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of three leaves, found from histograms and scored from their table of nodes."""
+    model, held_out = _leafwise(spark, sf_dir)
+    return held_out.select(*ft.PLAYER_WEEK, ft.LABEL, model.probability().alias(PROBABILITY))
+
+
+@register(
+    "leafwise_importances",
+    views.with_sql(
+        _LEAFWISE,
+        """
+  , splits AS (SELECT f, gain FROM boost_root1 UNION ALL SELECT f, gain FROM boost_second1
+               UNION ALL SELECT f, gain FROM boost_root2 UNION ALL SELECT f, gain FROM boost_second2)
+  SELECT ['few_carries', 'few_targets', 'week'][f] AS feature, round(coalesce(sum(gain), 0) / (SELECT sum(gain) FROM splits), 6) AS importance,
+         count(gain) AS splits
+  FROM range(1, 4) r(f) LEFT JOIN splits USING (f) GROUP BY f
+""",
+    ),
+)
+def leafwise_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leafwise(spark, sf_dir)[0].importances(spark)
+
+
 @register("rf_score")
 def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out_scores(spark, sf_dir, RANDOM_FOREST, RF_PARAMS)
