@@ -44,6 +44,7 @@ TOP = 2_000
 SHARD_BYTES = 12 << 20
 SAMPLE = 400
 NO_LANG = "und"
+PARTS = 32
 _WORD_BYTES = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -325,7 +326,12 @@ def collocations(docs: DataFrame, top: int | None = TOP, least: int = LEAST_COUN
     left = worst.join(holders, ["lang", "phrase"], "left").where(~F.coalesce(covered, F.lit(False)))
     # Sums of partial totals: one row for each language.
     totals = words.groupBy("lang").agg(F.sum("total").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
-    ranked = left.withColumn("rank", F.row_number().over(order))
+    by_score = (F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
+    if top is not None:
+        # First within parts of a language, so that the last ranking sees PARTS * top rows of each at most.
+        part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+        within = Window.partitionBy("lang", "part").orderBy(*by_score)
+        left = left.withColumn("part", part).withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= top)
+    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by_score)))
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").cast("long").alias("score"))
