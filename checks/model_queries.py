@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views
@@ -12,6 +12,7 @@ from checks.registry import register
 from scorecast.operators import evaluate as ev
 from scorecast.operators import features as ft
 from scorecast.operators.folds import season_split, with_blocks
+from scorecast.operators.forest_tables import ForestSettings, fit_forest
 from scorecast.operators.models import (
     BOOSTED_TREES,
     RANDOM_FOREST,
@@ -22,6 +23,7 @@ from scorecast.operators.models import (
     with_weight,
 )
 from scorecast.operators.search import prepare, random_search
+from scorecast.operators.tree_search import score_draws
 from scorecast.operators.tree_tables import BoostSettings, TreeModel, fit_bins, fit_boosted, with_bins
 from scorecast.plans.backtest import stack, tune
 from scorecast.plans.feature_table import Histories, build_histories, features_from, opponent_codes
@@ -153,6 +155,36 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.classification_report(scored, "label", "prediction")
 
 
+@register(
+    "draws_in_one_scan",
+    views.with_sql(
+        LABELLED,
+        f"""
+  , calendar AS (SELECT season, week, row_number() OVER (ORDER BY season, week) AS r, count(*) OVER () AS n
+                 FROM (SELECT DISTINCT season, week FROM labelled WHERE season < {SEASON}))
+  , blocks AS (SELECT season, week, CASE WHEN r <= n - 5 * (n // 6) THEN 0 ELSE (r - 1 - (n - 5 * (n // 6))) // (n // 6) + 1 END AS block FROM calendar)
+  , each AS (SELECT draw, block AS fold, scored_touchdown AS y,
+                    CASE WHEN ((draw + 1) * 0.1 + fold_part) * scored_touchdown + 0.8 * ((player_id * 37 + week * 11 + season + draw) % 997) / 997.0 >= 0.5 THEN 1 ELSE 0 END AS p
+             FROM labelled JOIN blocks USING (season, week), range(0, 4) d(draw), (SELECT unnest(range(1, 6)) AS f, unnest(range(1, 6)) / 100.0 AS fold_part)
+             WHERE block = f)
+  SELECT CAST(draw AS BIGINT) AS draw, CAST(fold AS BIGINT) AS fold, CAST(sum(y * p) AS BIGINT) AS tp, CAST(sum((1 - y) * p) AS BIGINT) AS fp,
+         CAST(sum(y * (1 - p)) AS BIGINT) AS fn, round(2.0 * sum(y * p) / (2 * sum(y * p) + sum((1 - y) * p) + sum(y * (1 - p))), 6) AS f1
+  FROM each GROUP BY draw, fold
+""",
+    ),
+)
+def draws_in_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four draws on five folds, with formulas in place of models, counted by one aggregation."""
+    train, _ = season_split(_labelled(spark, sf_dir), SEASON)
+
+    def formula(draw: int, fold: int) -> Column:
+        noise = (F.col("player_id") * 37 + F.col("week") * 11 + F.col("season") + draw) % 997
+        return F.lit((draw + 1) * 0.1 + fold / 100.0) * F.col(ft.LABEL) + F.lit(0.8) * noise / F.lit(997.0)
+
+    by_fold = {fold: [formula(draw, fold) for draw in range(4)] for fold in range(1, 6)}
+    return score_draws(with_blocks(train.select(*ft.PLAYER_WEEK, ft.LABEL)), by_fold, ft.LABEL)
+
+
 # Small forests: these queries show that fitting and scoring work, not how well.
 RF_PARAMS = {"numTrees": 20, "maxDepth": 5}
 GBT_PARAMS = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.1}
@@ -325,6 +357,61 @@ def leafwise_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leafwise(spark, sf_dir)[0].importances(spark)
 
 
+# A whole tree of depth two by Gini impurity: a split of all rows, and one of each side where it is possible.
+SHALLOW = ForestSettings(trees=1, max_depth=2, min_samples_split=300, min_samples_leaf=20, max_features="all", bootstrap=False)
+
+
+def _gini_split(sums: str) -> str:
+    """The best split of each node of a table (node, f, v, p, w, n)."""
+
+    def impurity(p: str, w: str) -> str:
+        return f"2 * ({p}) * (({w}) - ({p})) / ({w})"
+
+    gain = f"round({impurity('pa', 'wa')} - {impurity('pl', 'wl')} - {impurity('pa - pl', 'wa - wl')}, 9)"
+    return f"""
+  SELECT node, f, cut, {gain} AS gain
+  FROM (SELECT c.f, c.cut, c.place, s.node, sum(p) FILTER (WHERE v <= cut) AS pl, sum(w) FILTER (WHERE v <= cut) AS wl, sum(n) FILTER (WHERE v <= cut) AS nl,
+               sum(p) AS pa, sum(w) AS wa, sum(n) AS na
+        FROM {sums} s JOIN boost_cuts c ON c.f = s.f GROUP BY ALL)
+  WHERE nl >= {SHALLOW.min_samples_leaf} AND na - nl >= {SHALLOW.min_samples_leaf} AND na >= {SHALLOW.min_samples_split} AND {gain} > 0
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, place) = 1
+"""
+
+
+_GINI_SUMS = f"SELECT {{}} AS node, f, x[f] AS v, sum(w * label) AS p, sum(w) AS w, count(*) AS n FROM {{}}, range(1, 4) r(f) WHERE season < {SEASON} GROUP BY ALL"
+views.SQL["tree_rows"] = f"""
+  SELECT r.*, CASE WHEN label = 1 THEN n / (2.0 * positives) ELSE n / (2.0 * (n - positives)) END AS w
+  FROM stump_rows r, (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(label) AS DOUBLE) AS positives FROM stump_rows WHERE season < {SEASON})
+"""
+views.SQL["tree_root_sums"] = _GINI_SUMS.format("0", "tree_rows")
+views.SQL["tree_root"] = _gini_split("tree_root_sums")
+views.SQL["tree_sides"] = "SELECT t.*, CASE WHEN x[f] <= cut THEN 1 ELSE 2 END AS side FROM tree_rows t, tree_root"
+views.SQL["tree_side_sums"] = _GINI_SUMS.format("side", "tree_sides")
+views.SQL["tree_second"] = _gini_split("tree_side_sums")
+views.SQL["tree_leaves"] = """
+  SELECT s.*, side * 10 + CASE WHEN node IS NULL THEN 0 WHEN x[f] <= cut THEN 1 ELSE 2 END AS leaf
+  FROM tree_sides s LEFT JOIN tree_second t ON t.node = s.side
+"""
+views.SQL["tree_values"] = f"SELECT leaf, sum(w * label) / sum(w) AS p FROM tree_leaves WHERE season < {SEASON} GROUP BY leaf"
+
+
+@register(
+    "forest_tree",
+    views.with_sql(
+        f"{LABELLED} stump_rows boost_cuts tree_rows tree_root_sums tree_root tree_sides tree_side_sums tree_second tree_leaves tree_values",
+        f"SELECT {_KEYS}, label AS scored_touchdown, round(p, 6) AS {PROBABILITY} FROM tree_leaves JOIN tree_values USING (leaf) WHERE season = {SEASON}",
+    ),
+)
+def forest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of depth two with a minimum split size, over all rows and features."""
+    few = {c: F.least(F.coalesce(c, F.lit(0.0)), F.lit(9.0)).alias(f"few_{c}") for c in ("carries", "targets")}
+    train, held_out = season_split(_labelled(spark, sf_dir).select(*ft.PLAYER_WEEK, ft.LABEL, *few.values()), SEASON)
+    bins = fit_bins(train, _FEW)
+    stored = save(with_bins(with_weight(train, ft.LABEL, "balanced"), bins, [*ft.PLAYER_WEEK, ft.LABEL, "weight"]), "forest-bins")
+    model = fit_forest(stored, bins, ft.LABEL, "weight", SHALLOW, ft.PLAYER_WEEK)
+    return held_out.select(*ft.PLAYER_WEEK, ft.LABEL, model.probability().alias(PROBABILITY))
+
+
 @register("rf_score")
 def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out_scores(spark, sf_dir, RANDOM_FOREST, RF_PARAMS)

@@ -1,4 +1,4 @@
-"""Boosted trees grown leaf by leaf from histograms, kept as a table and scored by column expressions.
+"""Boosted trees grown leaf by leaf from histograms, and trees kept as tables that column expressions score.
 
 Features are binned once and stored, a small number each; every fit reads the
 same bins. A round adds up gradients and Hessians by (leaf, feature, bin) in
@@ -113,24 +113,36 @@ _NODES = "tree int, node int, feature int, cut double, left int, right int, valu
 
 @dataclass(frozen=True)
 class TreeModel:
+    """``mean`` models give the mean of their trees' values as the probability, others their sum as log-odds."""
+
     features: tuple[str, ...]
     base: float
     nodes: tuple[Node, ...] = field(repr=False)
+    mean: bool = False
 
     def table(self, spark: SparkSession) -> DataFrame:
         """A row for each node; ``feature`` is its place in ``features``, -1 in leaves."""
         return spark.createDataFrame([tuple(vars(n).values()) for n in self.nodes], _NODES)
 
-    def margin(self) -> Column:
-        """The sum of the leaves' values that a row of features ends in, and the base."""
+    def margin(self, bins: Bins | None = None) -> Column:
+        """The sum of the leaves' values that a row of features ends in, and the base.
+
+        With ``bins``, rows have the array of bins that the model was fitted on in place of the features.
+        """
+
+        def cut(n: Node) -> float:
+            return n.cut if bins is None or n.feature == LEAF else bins.cuts[n.feature].index(n.cut)
+
         trees: dict[int, list[Node]] = {}
         for node in self.nodes:
             trees.setdefault(node.tree, []).append(node)
         steps = max((_depth(t) for t in trees.values()), default=0)
-        lists = [[{"f": n.feature, "c": n.cut, "l": n.left, "r": n.right, "v": n.value} for n in sorted(t, key=lambda n: n.node)] for t in trees.values()]
+        lists = [[{"f": n.feature, "c": cut(n), "l": n.left, "r": n.right, "v": n.value} for n in sorted(t, key=lambda n: n.node)] for t in trees.values()]
         # A constant: the parser runs once when the query is planned.
         forest = F.from_json(F.lit(json.dumps(lists)), "array<array<struct<f:int,c:double,l:int,r:int,v:double>>>")
-        x = F.array(*[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(-math.inf)), F.lit(-math.inf)) for f in self.features])
+        x = F.col("bins")
+        if bins is None:
+            x = F.array(*[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(-math.inf)), F.lit(-math.inf)) for f in self.features])
 
         def walk(tree: Column) -> Column:
             def step(at: Column, _: Column) -> Column:
@@ -141,8 +153,10 @@ class TreeModel:
 
         return F.aggregate(F.transform(forest, walk), F.lit(float(self.base)), lambda total, v: total + v)
 
-    def probability(self) -> Column:
-        return 1 / (1 + F.exp(-self.margin()))
+    def probability(self, bins: Bins | None = None) -> Column:
+        """The probability of class 1."""
+        margin = self.margin(bins)
+        return margin / len({n.tree for n in self.nodes}) if self.mean else 1 / (1 + F.exp(-margin))
 
     def importances(self, spark: SparkSession) -> DataFrame:
         """(feature, importance, splits): each feature's share of all gains, highest first."""
@@ -176,6 +190,7 @@ class BoostSettings:
     rounds: int = 100
     learning_rate: float = 0.1
     leaves: int = 31
+    max_depth: int = -1  # no limit
     l1: float = 0.0
     l2: float = 0.0
     min_rows: int = 20
@@ -190,8 +205,8 @@ class BoostSettings:
 BOOST_GRID: Mapping[str, Sequence] = {
     "rounds": [100, 200, 400],
     "learning_rate": [0.01, 0.05, 0.1],
-    "leaves": [31, 63, 127],
-    "min_rows": [10, 20, 50],
+    "leaves": [20, 31, 40, 50],
+    "max_depth": [-1, 10, 20],
     "l1": [0, 0.1, 0.5],
     "l2": [0, 0.1, 0.5],
 }
@@ -202,6 +217,7 @@ class _Growing:
     """A node while its tree grows: sums by (feature, bin) of gradient, Hessian and rows, and its best split."""
 
     sums: np.ndarray
+    depth: int = 0
     gain: float = -math.inf
     feature: int = LEAF
     bin: int = 0
@@ -234,7 +250,7 @@ def find_split(node: _Growing, cuts: Sequence[int], allowed: np.ndarray, s: Boos
     best = int(np.argmax(gains))
     node.feature, node.bin = divmod(best, gains.shape[1])
     node.gain = float(gains[node.feature, node.bin])
-    if not node.gain > 0:
+    if not node.gain > 0 or node.depth == s.max_depth:
         node.gain, node.feature = -math.inf, LEAF
 
 
@@ -288,7 +304,7 @@ def grow_tree(rows: DataFrame, bins: Bins, s: BoostSettings, allowed: np.ndarray
             nodes[k].children = (len(nodes), len(nodes) + 1)
             left = nodes[k].sums[nodes[k].feature, : nodes[k].bin + 1, 2].sum()
             small.append(nodes[k].children[0 if 2 * left <= nodes[k].totals[2] else 1])
-            nodes += [_Growing(np.zeros((*shape, 3))) for _ in range(2)]
+            nodes += [_Growing(np.zeros((*shape, 3)), nodes[k].depth + 1) for _ in range(2)]
         measured = _measure(rows, nodes, small, shape)
         for k, one in zip(open_, small, strict=True):
             other = sum(nodes[k].children) - one
