@@ -44,7 +44,7 @@ ORDER = 2
 ADDEND = 0.1
 PRIOR = 100.0
 FOLDS = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 START, END = 0, 1
 NO_ARC = 1.0  # no log-probability
 _LEVELS = 7  # the last three bits of a key hold the number of words of its n-gram; 0 is the start of a text
@@ -96,7 +96,8 @@ def read_block(texts: list[bytes], training: list[bool], order: int) -> Block:
     split = [text.lower().split() for text in texts]  # of bytes: A-Z only, and ASCII white space only
     lengths = np.array([len(words) + 2 for words in split], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    coded = pa.array(list(chain.from_iterable(split)), pa.large_binary()).dictionary_encode()
+    coded = pa.array(chain.from_iterable(split), pa.large_binary(), size=int(lengths.sum()) - 2 * len(split)).dictionary_encode()
+    del split  # a Python object for each token
     tokens = np.full(int(starts[-1]), END, dtype=np.int64)
     tokens[starts[:-1]] = START
     inner = np.ones(len(tokens), dtype=bool)
@@ -209,20 +210,36 @@ def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    return pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(values, pa.int64())).cast(pa.list_(pa.int64()))
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: their high bytes are mostly equal and compress well."""
+    return zstandard.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a column of lists, and the length of each list."""
-    values = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
-    return np.concatenate(values), np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in column.chunks])
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys (as unsigned numbers) as differences."""
+    return _pack(np.diff(keys.view(np.uint64), prepend=np.uint64(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=np.uint64).view(np.int64)
+
+
+def _numbers(packed: list[bytes]) -> np.ndarray:
+    return np.concatenate([_unpack(p).view(np.int64) for p in packed])
+
+
+_ANSWER = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("totals", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())])
 
 
 def _added(group: pa.Table) -> pa.Table:
     """One stretch of keys: totals for the blocks that hold a part of them, and without a block the counts of words."""
-    keys, lengths = _flat(group.column("keys"))
-    counts, _ = _flat(group.column("counts"))
+    lists = [_unpack_keys(k) for k in group.column("keys").to_pylist()]
+    keys, counts = np.concatenate(lists), _numbers(group.column("counts").to_pylist())
     place = np.argsort(keys, kind="stable")
     ordered = keys[place]
     change = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -230,24 +247,21 @@ def _added(group: pa.Table) -> pa.Table:
     totals = np.empty_like(counts)
     totals[place] = sums[np.cumsum(change) - 1]
     words = ordered[change] & _LEVELS == 1
-    sent = totals > counts
-    ends = np.cumsum(lengths)
-    cuts = np.concatenate([[0], np.cumsum(sent)[ends - 1]])
-    blocks = group.column("block").to_pylist()
-    statistics = np.array([sums[words].sum(), (sums[words] > 0).sum()])
-    return pa.table(
-        {
-            "block": pa.array([*blocks, None], pa.int64()),
-            "keys": _lists(keys[sent], np.append(cuts, cuts[-1])),
-            "totals": _lists(np.concatenate([totals[sent], statistics]), np.append(cuts, cuts[-1] + 2)),
-        }
-    )
+    rows = [{"tokens": int(sums[words].sum()), "words": int((sums[words] > 0).sum())}]
+    start = 0
+    for block, one in zip(group.column("block").to_pylist(), lists, strict=True):
+        part = slice(start, start + len(one))
+        sent = totals[part] > counts[part]
+        if sent.any():
+            rows.append({"block": block, "keys": _pack_keys(one[sent]), "totals": _pack(totals[part][sent])})
+        start += len(one)
+    return pa.Table.from_pylist(rows, schema=_ANSWER)
 
 
 def _totals(dealt: DataFrame, order: int, parts: int) -> DataFrame:
-    """(block, keys, totals): counts over all blocks, for the blocks that do not hold all of them.
+    """(block, keys, totals, tokens, words): counts over all blocks, for the blocks that do not hold all of them.
 
-    Keys travel in lists, one of each block for each of ``parts`` stretches.
+    Keys travel in packed lists, one of each block for each of ``parts`` stretches.
     Rows without a block hold the training tokens and distinct words of a stretch.
     """
 
@@ -257,13 +271,22 @@ def _totals(dealt: DataFrame, order: int, parts: int) -> DataFrame:
         counts = np.concatenate([level.counts for level in block.levels])
         counts[START] = sum(_training(rows))
         place = np.argsort(keys.view(np.uint64))
-        stretch, first = np.unique(_ranges(keys[place], parts), return_index=True)
-        cuts = np.append(first, len(keys))
+        keys, counts = keys[place], counts[place]
+        stretch, first = np.unique(_ranges(keys, parts), return_index=True)
+        cuts = [*first.tolist(), len(keys)]
+        slices = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
         name = rows.column("block")[0].as_py()
-        return pa.table({"stretch": stretch, "block": np.full(len(stretch), name), "keys": _lists(keys[place], cuts), "counts": _lists(counts[place], cuts)})
+        return pa.table(
+            {
+                "stretch": stretch,
+                "block": np.full(len(stretch), name),
+                "keys": pa.array([_pack_keys(keys[x]) for x in slices], pa.binary()),
+                "counts": pa.array([_pack(counts[x]) for x in slices], pa.binary()),
+            }
+        )
 
-    grams = dealt.groupBy("block").applyInArrow(count, "stretch long, block long, keys array<long>, counts array<long>")
-    return save(grams.groupBy("stretch").applyInArrow(_added, "block long, keys array<long>, totals array<long>"), "backoff-totals")
+    grams = dealt.groupBy("block").applyInArrow(count, "stretch long, block long, keys binary, counts binary")
+    return save(grams.groupBy("stretch").applyInArrow(_added, "block long, keys binary, totals binary, tokens long, words long"), "backoff-totals")
 
 
 _SCORED = ("held_out boolean", "n_tokens long", "n_known long", "train_tokens long", "base_score double", "score double")
@@ -282,12 +305,13 @@ def score_texts(
     blocks = max(1, ceil(weight / block_bytes))
     dealt = _dealt(docs, held, blocks)
     totals = _totals(dealt, order, blocks)
-    sums = totals.where("block is null").agg(F.sum(F.col("totals")[0]), F.sum(F.col("totals")[1])).first()
+    sums = totals.where("block is null").agg(F.sum("tokens"), F.sum("words")).first()
     n, distinct = sums[0] or 0, sums[1] or 0
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         block = read_block(_texts(rows), _training(rows), order)
-        keys, sums = (_flat(answers.column(c))[0] for c in ("keys", "totals")) if answers.num_rows else (block.levels[0].keys[:0],) * 2
+        keys = np.concatenate([_unpack_keys(k) for k in answers.column("keys").to_pylist()] or [np.zeros(0, dtype=np.int64)])
+        sums = _numbers(answers.column("totals").to_pylist()) if answers.num_rows else keys
         place = np.argsort(keys)
         keys, sums = keys[place], sums[place]
         block.levels[0].counts[START] = sum(_training(rows))
@@ -320,4 +344,4 @@ def score_texts(
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(_SCORED)
     empty = pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c.split()[0]: pa.array([], pa.float64() if "double" in c else pa.int64()) for c in _SCORED[1:]}})
-    return dealt.groupBy("block").cogroup(totals.where("block is not null").groupBy("block")).applyInArrow(scored, schema)
+    return dealt.groupBy("block").cogroup(totals.where("block is not null").select("block", "keys", "totals").groupBy("block")).applyInArrow(scored, schema)
