@@ -36,7 +36,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType
 
 from scorecast.llm.common import key_runs
 from scorecast.llm.components import components
@@ -449,9 +449,21 @@ def _names(docs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
 
 
 def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """``rows`` with component_id in place of node; texts without a name are alone."""
+    """``rows`` with component_id in place of node; texts without a name are alone.
+
+    A filter of fixed size tells which rows may have a name; only these are shuffled for the join.
+    """
+    members = hash_filter(names, "node")
+
+    @F.pandas_udf(BooleanType())
+    def may_have_name(node: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(members.value, node.to_numpy()))
+
     kept = [c for c in rows.columns if c != "node"]
-    return _readable(rows.join(names, "node", "left").select(*kept, F.coalesce("component_id", "doc_id").alias("component_id")))
+    marked = rows.withColumn("named", may_have_name("node"))
+    joined = marked.where("named").join(names, "node", "left").select(*kept, F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = marked.where("not named").select(*kept, F.col("doc_id").alias("component_id"))
+    return _readable(joined.union(alone))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
