@@ -11,9 +11,11 @@ from checks.market_queries import lines
 from checks.registry import register
 from scorecast.operators import asof
 from scorecast.operators import features as ft
+from scorecast.operators.tails import merge_tails, tail_means, tails
 from scorecast.operators.windows import latest_present, latest_rows, recent_means
 from scorecast.plans.feature_table import Histories, build_histories, opponent_codes
 from scorecast.plans.week_scores import scoring_frame as make_frame
+from scorecast.sources.store import save
 
 # The coming week of these queries.
 SEASON, WEEK = 2000, 6
@@ -115,6 +117,29 @@ def latest_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent_means(history, ["player_id"], ft.PLAYER_ORDER, _LATEST_MEANS)
 
 
+@register(
+    "tail_update",
+    views.with_sql(
+        "plays rosters weekly labelled latest_player_means",
+        "SELECT player_id, "
+        + ", ".join(f"round({name}, 6) + 0.0 AS {name}" for name in _LATEST_MEANS)
+        + " FROM latest_player_means",
+    ),
+)
+def tail_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tails of the seasons long past, then one season and the weeks of another merged in; the SQL reads the whole history."""
+    keys, longest = ["player_id"], max(n for _, n in _LATEST_MEANS.values())
+    sources = sorted({source for source, _ in _LATEST_MEANS.values()})
+    history = asof.history_before(_weekly(spark, sf_dir), SEASON, WEEK)
+    history = save(history.select(*ft.PLAYER_WEEK, *sources), "history", partition_by="season")
+    season = F.col("season")
+    kept = save(tails(history.where(season < SEASON - 1), keys, ft.PLAYER_ORDER, sources, longest), "tails")
+    for arrived in (season == SEASON - 1, season == SEASON):
+        new = tails(history.where(arrived), keys, ft.PLAYER_ORDER, sources, longest)
+        kept = save(merge_tails(kept, new, keys, ft.PLAYER_ORDER, longest), "tails")
+    return tail_means(kept, keys, _LATEST_MEANS)
+
+
 _PAIRS = """
   SELECT season, week, team, max(opponent_team) AS opponent_team
   FROM (SELECT season, week, home_team AS team, away_team AS opponent_team FROM schedule
