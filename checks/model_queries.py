@@ -11,8 +11,9 @@ from checks.feature_queries import inputs
 from checks.registry import register
 from scorecast.operators import evaluate as ev
 from scorecast.operators import features as ft
-from scorecast.operators.folds import season_split, with_blocks
+from scorecast.operators.folds import season_split, stratified_folds, with_blocks
 from scorecast.operators.forest_tables import ForestSettings, fit_forest
+from scorecast.operators.logistic import fit_logistic
 from scorecast.operators.models import (
     BOOSTED_TREES,
     RANDOM_FOREST,
@@ -185,6 +186,74 @@ def draws_in_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_draws(with_blocks(train.select(*ft.PLAYER_WEEK, ft.LABEL)), by_fold, ft.LABEL)
 
 
+# Two formulas of the row stand in for the out-of-fold probabilities of two models.
+views.SQL["logit_rows"] = """
+  SELECT CAST(scored_touchdown AS DOUBLE) AS y, 0.1 * scored_touchdown + 0.9 * ((player_id * 37 + week * 11 + season) % 997) / 997.0 AS p_rf,
+         0.2 * scored_touchdown + 0.7 * ((player_id * 17 + week * 5 + season * 3) % 991) / 991.0 AS p_gbt
+  FROM labelled
+"""
+views.SQL["logit_beta0"] = "SELECT CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2"
+_NEWTON_STEPS = 12
+
+
+def _newton_sql(k: int) -> str:
+    """One step: sums over all rows with the unit penalty, then three unknowns by Cramer's rule."""
+    views.SQL[f"logit_sums{k}"] = f"""
+  SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(p - y) AS g0,
+         sum((p - y) * p_rf) + any_value(b1) AS g1, sum((p - y) * p_gbt) + any_value(b2) AS g2,
+         sum(p * (1 - p)) AS a, sum(p * (1 - p) * p_rf) AS b, sum(p * (1 - p) * p_gbt) AS c,
+         sum(p * (1 - p) * p_rf * p_rf) + 1 AS d, sum(p * (1 - p) * p_rf * p_gbt) AS e,
+         sum(p * (1 - p) * p_gbt * p_gbt) + 1 AS f
+  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * p_rf + b2 * p_gbt))) AS p FROM logit_rows, logit_beta{k - 1})
+"""
+    views.SQL[f"logit_beta{k}"] = f"""
+  SELECT b0 - (g0 * (d * f - e * e) + g1 * (c * e - b * f) + g2 * (b * e - c * d)) / det AS b0,
+         b1 - (g0 * (c * e - b * f) + g1 * (a * f - c * c) + g2 * (b * c - a * e)) / det AS b1,
+         b2 - (g0 * (b * e - c * d) + g1 * (b * c - a * e) + g2 * (a * d - b * b)) / det AS b2
+  FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM logit_sums{k})
+"""
+    return f"logit_sums{k} logit_beta{k}"
+
+
+@register(
+    "meta_regression",
+    views.with_sql(
+        f"{LABELLED} logit_rows logit_beta0 {' '.join(_newton_sql(k + 1) for k in range(_NEWTON_STEPS))}",
+        f"""
+  SELECT unnest(['intercept', 'p_rf', 'p_gbt']) AS term, unnest([round(b0, 6), round(b1, 6), round(b2, 6)]) AS coefficient
+  FROM logit_beta{_NEWTON_STEPS}
+""",
+    ),
+)
+def meta_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regression on top of a stack, by sums over all rows."""
+    first = (F.col("player_id") * 37 + F.col("week") * 11 + F.col("season")) % 997
+    second = (F.col("player_id") * 17 + F.col("week") * 5 + F.col("season") * 3) % 991
+    rows = _labelled(spark, sf_dir).select(
+        F.col(ft.LABEL).alias("y"),
+        (F.lit(0.1) * F.col(ft.LABEL) + F.lit(0.9) * first / F.lit(997.0)).alias("p_rf"),
+        (F.lit(0.2) * F.col(ft.LABEL) + F.lit(0.7) * second / F.lit(991.0)).alias("p_gbt"),
+    )
+    return fit_logistic(save(rows, "meta-rows"), ["p_rf", "p_gbt"], "y").table(spark)
+
+
+@register(
+    "stratified_folds",
+    views.with_sql(
+        LABELLED,
+        f"""
+  SELECT {_KEYS}, CAST(scored_touchdown AS BIGINT) AS scored_touchdown,
+         (row_number() OVER (PARTITION BY scored_touchdown ORDER BY md5(concat_ws('|', {_KEYS}))) - 1) % 5 AS fold
+  FROM labelled
+""",
+    ),
+)
+def folds_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _KEYS.split(", ")
+    rows = save(_labelled(spark, sf_dir).select(*keys, ft.LABEL), "fold-rows")
+    return stratified_folds(rows, ft.LABEL, keys)
+
+
 # Small forests: these queries show that fitting and scoring work, not how well.
 RF_PARAMS = {"numTrees": 20, "maxDepth": 5}
 GBT_PARAMS = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.1}

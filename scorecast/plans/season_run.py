@@ -42,7 +42,7 @@ class Settings:
     draws: int = 25
     n_splits: int = 5
     n_folds: int = 5
-    fold_by: str = "hash"
+    fold_by: str = "stratified"
     parallelism: int = 4
     min_usage: bool = False
     max_fit_rows: int | None = None  # about so many rows at most for any fit; all are scored

@@ -255,7 +255,7 @@ def test_time_folds_never_look_ahead(features):
     assert scored.count() == blocks.where("fold > 0").count()
 
 
-@pytest.mark.parametrize("fold_by", ["hash", "time"])
+@pytest.mark.parametrize("fold_by", ["stratified", "hash", "time"])
 def test_stack_scores_unseen_rows(features, fold_by):
     train, held_out = season_split(features, 2024)
     fitted = stack(train, SMALL, n_folds=2, fold_by=fold_by)
