@@ -16,6 +16,7 @@ from checks import views
 from checks.registry import register
 from scorecast.session import shared_folder
 from scorecast.sources import tables as readers
+from scorecast.sources.store import save
 
 SEASONS = [1994, 1996, 1997]
 _WANTED = f"season IN ({', '.join(map(str, SEASONS))})"
@@ -61,6 +62,33 @@ def source_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_weekly(spark, _season_folders(weekly, "weekly"), SEASONS)
 
 
+@register(
+    "source_uneven_seasons",
+    views.with_sql(
+        "plays rosters weekly",
+        f"""
+  SELECT CAST(player_id AS VARCHAR) AS player_id, player_display_name, position, recent_team, opponent_team,
+         season, week, carries, CAST(round(rushing_yards, 6) AS DOUBLE) AS rushing_yards, rushing_tds, receptions,
+         targets, CAST(round(receiving_yards, 6) AS DOUBLE) AS receiving_yards, receiving_tds,
+         CASE WHEN season <> 1996 THEN CAST(round(wopr, 6) AS DOUBLE) END AS wopr, CAST(round(rushing_epa, 6) + 0.0 AS DOUBLE) AS rushing_epa,
+         CAST(round(receiving_epa, 6) + 0.0 AS DOUBLE) AS receiving_epa,
+         CAST(round(target_share, 6) AS DOUBLE) AS target_share
+  FROM weekly WHERE {_WANTED}
+""",
+    ),
+)
+def source_uneven_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One season has no ``wopr``, another holds ``carries`` as whole numbers and ``week`` as text, the rest are as they should be."""
+    path = _path(spark, "uneven")
+    weekly = save(views.weekly(spark, sf_dir), "weekly", partition_by="season")
+    odd = {1996: lambda df: df.drop("wopr"), 1997: lambda df: df.withColumns({"carries": F.col("carries").cast("int"), "week": F.col("week").cast("string")})}
+    usual = weekly.where(~F.col("season").isin(list(odd)))
+    usual.withColumn("unused", F.lit("x")).write.partitionBy("season").parquet(path)
+    for season, change in odd.items():
+        change(weekly.where(F.col("season") == season)).drop("season").write.parquet(f"{path}/season={season}")
+    return readers.read_weekly(spark, path, SEASONS, uneven=True)
+
+
 @register(
     "source_plays",
     views.with_sql(

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
 from scorecast.errors import DuplicateKeyError, EmptySourceError
 from scorecast.functions.columns import nan_to_null, try_number
@@ -17,48 +18,99 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _typed(table: DataFrame, schema: StructType, raw: Sequence[str], absent: bool = False) -> DataFrame:
+    """The columns of ``schema``; with ``absent``, those the table lacks are NULL."""
+    columns = []
+    for field in schema.fields:
+        if absent and field.name not in table.columns:
+            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+            continue
+        column = _quoted(field.name).cast(field.dataType)
+        if isinstance(field.dataType, (DoubleType, FloatType)) and field.name not in raw:
+            column = nan_to_null(column)
+        columns.append(column.alias(field.name))
+    return table.select(*columns)
+
+
+def season_folders(spark: SparkSession, path: str) -> dict[int, str]:
+    """The folders ``season=...`` in ``path`` by season, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = [(status.getPath().getName(), status.getPath().toString()) for status in found if status.isDirectory()]
+    seasons = {name.removeprefix("season="): folder for name, folder in names if name.startswith("season=")}
+    return {int(season): folder for season, folder in sorted(seasons.items()) if season.isdecimal()}
+
+
+def read_season_folders(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    seasons: Sequence[int] | None = None,
+    raw: Sequence[str] = (),
+) -> DataFrame:
+    """``read_parquet_table`` where seasons differ in their columns and types.
+
+    Every folder is read with the columns and types of its own files, so a
+    number may be whole in one season and not in the next; a column that a
+    season lacks is NULL there. Seasons with equal columns share a scan. Only
+    the folders of ``seasons`` are opened, and filters reach each scan.
+    """
+    folders = {s: f for s, f in season_folders(spark, path).items() if seasons is None or s in set(seasons)}
+    if not folders:
+        raise EmptySourceError(f"no season folders in {path}")
+    alike: dict[str, tuple[StructType, list[str]]] = {}
+    for folder in folders.values():
+        # Files of one season may lack columns too; the union of theirs counts.
+        found = spark.read.option("mergeSchema", True).parquet(folder).schema
+        alike.setdefault(StructType(sorted(found, key=lambda f: f.name)).simpleString(), (found, []))[1].append(folder)
+    parts = []
+    for found, group in alike.values():
+        whole = StructType([*[f for f in found if f.name != "season"], StructField("season", IntegerType())])
+        table = spark.read.schema(whole).option("basePath", path).parquet(*group)
+        parts.append(_typed(table, schema, raw, absent=True))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_parquet_table(
     spark: SparkSession,
     path: str,
     schema: StructType,
     seasons: Sequence[int] | None = None,
     raw: Sequence[str] = (),
+    uneven: bool = False,
 ) -> DataFrame:
     """The columns of ``schema``, limited to ``seasons``; NaN becomes NULL.
 
     Columns in ``raw`` keep their NaN so that a filter on them reaches the
-    Parquet reader. Where season is a partition column its filter prunes folders.
+    Parquet reader. Where season is a partition column its filter prunes
+    folders. ``uneven`` is for season folders with columns or types of their own.
     """
+    if uneven:
+        return read_season_folders(spark, path, schema, seasons, raw)
     table = spark.read.parquet(path)
     if seasons is not None:
         table = table.where(F.col("season").isin(list(seasons)))
-    columns = []
-    for field in schema.fields:
-        column = _quoted(field.name).cast(field.dataType)
-        if isinstance(field.dataType, (DoubleType, FloatType)) and field.name not in raw:
-            column = nan_to_null(column)
-        columns.append(column.alias(field.name))
-    return table.select(*columns)
+    return _typed(table, schema, raw)
 
 
-def read_weekly(spark: SparkSession, path: str, seasons: Sequence[int] | None = None) -> DataFrame:
-    return read_parquet_table(spark, path, schemas.WEEKLY, seasons)
+def read_weekly(spark: SparkSession, path: str, seasons: Sequence[int] | None = None, uneven: bool = False) -> DataFrame:
+    return read_parquet_table(spark, path, schemas.WEEKLY, seasons, uneven=uneven)
 
 
 def read_plays(
-    spark: SparkSession, path: str, seasons: Sequence[int] | None = None, last_week: int = 18
+    spark: SparkSession, path: str, seasons: Sequence[int] | None = None, last_week: int = 18, uneven: bool = False
 ) -> DataFrame:
     """Plays up to ``last_week``. A NaN yard line lies outside every zone as it is."""
-    plays = read_parquet_table(spark, path, schemas.PLAYS, seasons, raw=["yardline_100"])
+    plays = read_parquet_table(spark, path, schemas.PLAYS, seasons, raw=["yardline_100"], uneven=uneven)
     return plays.where(F.col("week") <= last_week)
 
 
-def read_rosters(spark: SparkSession, path: str, seasons: Sequence[int] | None = None) -> DataFrame:
-    return read_parquet_table(spark, path, schemas.ROSTERS, seasons)
+def read_rosters(spark: SparkSession, path: str, seasons: Sequence[int] | None = None, uneven: bool = False) -> DataFrame:
+    return read_parquet_table(spark, path, schemas.ROSTERS, seasons, uneven=uneven)
 
 
-def read_schedule(spark: SparkSession, path: str, seasons: Sequence[int] | None = None) -> DataFrame:
-    return read_parquet_table(spark, path, schemas.SCHEDULE, seasons)
+def read_schedule(spark: SparkSession, path: str, seasons: Sequence[int] | None = None, uneven: bool = False) -> DataFrame:
+    return read_parquet_table(spark, path, schemas.SCHEDULE, seasons, uneven=uneven)
 
 
 def _parsed(field: StructField) -> Column:
