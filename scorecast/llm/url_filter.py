@@ -121,9 +121,11 @@ def train_url_model(labelled: DataFrame, max_rows: int = MAX_FIT_ROWS) -> UrlMod
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], model: UrlModel, url: str = "url", suffix: str = "") -> DataFrame:
-    """``pages`` with host, path, rule and verdict; ``suffix`` goes behind these names."""
+    """``pages`` with host, path, rule and verdict; ``suffix`` goes behind these names. Columns that have these names already are replaced."""
     judged = model.verdict(pages, url, learnt := fresh(pages, "learnt"))
     host, path = host_of(F.col(url)), path_of(F.col(url))
     name, verdict = longest_rule(host, path, rules)
     named = {"host": host, "path": path, "rule": name, "verdict": F.coalesce(verdict, F.col(learnt))}
-    return judged.select(*[f"`{c}`" for c in pages.columns], *[c.alias(n + suffix) for n, c in named.items()])
+    results = {name + suffix: column for name, column in named.items()}
+    others = [f"`{c}`" for c in pages.columns if c.lower() not in {name.lower() for name in results}]
+    return judged.select(*others, *[column.alias(name) for name, column in results.items()])

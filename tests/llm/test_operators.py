@@ -412,6 +412,21 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), queries.RULES, model).count() == 0
 
 
+def test_urls_with_clashing_names_repeated_rows_and_very_long_ones(spark):
+    long = "http://a.org/" + "x" * 200_000
+    rows = [(1, long, "h", "p", "r", "v"), (1, long, "h", "p", "r", "v"), (2, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, Host string, path string, rule string, verdict string")
+    model = url_filter.UrlModel(None, "block")
+    found = url_filter.filter_urls(pages, queries.RULES, model)
+    assert found.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    first, second, null = sorted(found.collect(), key=lambda r: r["page_id"])
+    assert first == second and (first["host"], len(first["path"]), first["rule"], first["verdict"]) == ("a.org", 200_001, "org/", "allow")
+    assert (null["host"], null["path"], null["rule"], null["verdict"]) == ("", "", None, "block")
+    both = url_filter.filter_urls(pages, queries.RULES, model, suffix="_new").first()
+    assert (both["Host"], both["host_new"], both["rule"], both["rule_new"]) == ("h", "a.org", "r", "org/")
+
+
+
 # 10 minhash
 
 
