@@ -22,9 +22,11 @@ in everything count each. Other columns are left alone.
 from __future__ import annotations
 
 import heapq
+import json
+from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorecast.sources.store import save
@@ -60,6 +62,14 @@ def metadata(docs: DataFrame) -> DataFrame:
     )
 
 
+def _table(spark: SparkSession, rows: Iterable[tuple[Any, ...]], schema: str) -> DataFrame:
+    """A control table from one literal that the JVM unfolds, so that no Python worker is started for it."""
+    fields = [field.split() for field in schema.split(", ")]
+    written = json.dumps([dict(zip([name for name, _ in fields], row, strict=True)) for row in rows])
+    fields = ", ".join(f"{name}: {kind}" for name, kind in fields)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(written), f"array<struct<{fields}>>")))
+
+
 def _heavy_pieces(heavy: list[Any], leaf: float) -> list[tuple[str, int, int, float]]:
     """(group, piece, pieces, weight); groups heavier than a leaf fall into pieces of a hundredth of a leaf or more."""
     out = []
@@ -92,12 +102,12 @@ def _medians(placed: DataFrame, wanted: dict[int, float], slack: float) -> dict[
     while state:
         spark = placed.sparkSession
         rows = [(n, lo, max(1, -(-(hi - lo) // BINS)), hi) for n, (lo, hi, _, _) in state.items()]
-        intervals = F.broadcast(spark.createDataFrame(rows, "node long, lo long, step long, hi long"))  # one row per node
+        intervals = F.broadcast(_table(spark, rows, "node long, lo long, step long, hi long"))  # one row per node
         inside = placed.join(intervals, "node").where("at >= lo and at < hi")
         bins = inside.groupBy("node", F.expr("(at - lo) div step").alias("bin")).agg(F.sum("weight").alias("w"))
         running = bins.withColumn("sum", F.sum("w").over(Window.partitionBy("node").orderBy("bin")))
         steps = {n: (lo, step, hi) for n, lo, step, hi in rows}
-        crossing = running.join(F.broadcast(spark.createDataFrame([(n, float(s[3] - s[2])) for n, s in state.items()], "node long, want double")), "node")
+        crossing = running.join(F.broadcast(_table(spark, [(n, float(s[3] - s[2])) for n, s in state.items()], "node long, want double")), "node")
         hit = crossing.where("sum >= want").groupBy("node").agg(F.min_by(F.struct("bin", "w", "sum"), "bin").alias("b")).collect()
         hits = {row["node"]: row["b"] for row in hit}
         for node in list(state):
@@ -128,7 +138,8 @@ def deal_groups(groups: DataFrame, leaves: int, total: float) -> DataFrame:
         placed_heavy.append((group, piece, pieces, shard))
     used = dict((k, w) for w, k in load)
     room = [max(0.0, leaf - used[k]) for k in range(leaves)]
-    light = groups.where(F.col("weight") <= leaf * HEAVY).withColumns({"piece": F.lit(0), "node": F.lit(0).cast("long")})
+    # Stored, so that the node is a column and the first level joins by it like all others.
+    light = save(groups.where(F.col("weight") <= leaf * HEAVY).withColumns({"piece": F.lit(0), "node": F.lit(0).cast("long")}), "kd-light")
     spans = {0: (0, leaves)}
     done: dict[int, int] = {}
     number = 1
@@ -153,7 +164,7 @@ def deal_groups(groups: DataFrame, leaves: int, total: float) -> DataFrame:
         if not info:
             done |= {node: first for node, (first, _) in spans.items()}
             break
-        axes = F.broadcast(spark.createDataFrame(info, "node long, axis int, low double, high double"))  # one row per node
+        axes = F.broadcast(_table(spark, info, "node long, axis int, low double, high double"))  # one row per node
         coordinates = save(_coordinate(light.join(axes, "node", "left")).select("group", "piece", "weight", *DIMENSIONS, "node", "at"), "kd-level")
         cuts = _medians(coordinates.where(F.col("node").isin(list(wanted))) if len(wanted) < 100 else coordinates, wanted, leaf * TOLERANCE)
         split, next_spans = [], {}
@@ -163,13 +174,13 @@ def deal_groups(groups: DataFrame, leaves: int, total: float) -> DataFrame:
             split.append((node, cut, number, number + 1))
             next_spans |= {number: (first, middle), number + 1: (middle, last)}
             number += 2
-        table = F.broadcast(spark.createDataFrame(split, "node long, cut long, below long, above long"))  # one row per node
+        table = F.broadcast(_table(spark, split, "node long, cut long, below long, above long"))  # one row per node
         moved = F.when(F.col("cut").isNull(), F.col("node")).when(F.col("at") < F.col("cut"), F.col("below")).otherwise(F.col("above"))
         light = coordinates.join(table, "node", "left").select("group", "piece", "weight", *DIMENSIONS, moved.alias("node"))
         spans = next_spans
-    ends = F.broadcast(spark.createDataFrame(list(done.items()), "node long, shard int"))  # one row per leaf
+    ends = F.broadcast(_table(spark, done.items(), "node long, shard int"))  # one row per leaf
     dealt = light.join(ends, "node").select("group", "piece", F.lit(1).alias("pieces"), "shard")
-    return dealt.union(spark.createDataFrame(placed_heavy, "group string, piece int, pieces int, shard int"))
+    return dealt.union(_table(spark, placed_heavy, "group string, piece int, pieces int, shard int"))
 
 
 def shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:

@@ -112,6 +112,54 @@ def test_shards_split_a_group_beyond_a_leaf(spark):
     assert max(sizes.values()) < 1.25 * min(sizes.values())
 
 
+def plain_kd_tree(rows, leaves):
+    """Shard by row: sorted, whole rows, the cut at the row where half of the bytes are reached."""
+    dims = range(4)
+    spread = [max(1e-9, max(r["dims"][d] for r in rows) - min(r["dims"][d] for r in rows)) for d in dims]
+    found = {}
+
+    def split(part, first, last):
+        if last - first == 1 or not part:
+            found.update({r["group"]: first for r in part})
+            return
+        low, high = ([f(r["dims"][d] for r in part) for d in dims] for f in (min, max))
+        axis = max(dims, key=lambda d: ((high[d] - low[d]) / spread[d], -d))
+        width = high[axis] - low[axis]
+        place = lambda r: (int((r["dims"][axis] - low[axis]) / width * ((1 << 30) - 1)) if width else 0, r["hash"])
+        middle, below = (first + last) // 2, 0.0
+        part = sorted(part, key=place)
+        want = sum(r["weight"] for r in part) * (middle - first) / (last - first)
+        cut = 0
+        while cut < len(part) and below + part[cut]["weight"] < want:
+            below += part[cut]["weight"]
+            cut += 1
+        cut += cut < len(part) and want - below > part[cut]["weight"] / 2
+        split(part[:cut], first, middle)
+        split(part[cut:], middle, last)
+
+    split(rows, 0, leaves)
+    return found
+
+
+@pytest.mark.parametrize("leaves", [2, 3, 4])
+def test_shards_match_a_plain_kd_tree(spark, leaves):
+    """Sizes, languages and sources that tie and that are null; no text weighs more than a hundredth of a leaf."""
+    texts = [(i, "word " * (3 + i * 7 % 11) + str(i), ["en", "de", None][i * i % 3], ["a", "b", "web", None][i * 5 % 7 % 4]) for i in range(900)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    hashed = kd_shards.metadata(docs).withColumn("hash", F.expr("pmod(xxhash64(group, 0), 1L << 31)")).collect()
+    rows = [{"group": r["doc_id"], "weight": float(r["size"]), "hash": r["hash"], "dims": (float(r["size"]), float(r["doc_id"]), r["lang_at"], r["source_at"])} for r in hashed]
+    rows = [r | {"dims": tuple(-1.0 if d is None else d for d in r["dims"])} for r in rows]
+    got = {r["doc_id"]: r["shard"] for r in kd_shards.shard(docs, leaves=leaves).collect()}
+    assert got == plain_kd_tree(rows, leaves)
+
+
+def test_shards_start_no_python_worker(spark, documents):
+    plan = kd_shards._table(spark, [(1, 2.5, "x")], "node long, want double, group string")
+    assert [tuple(r) for r in plan.collect()] == [(1, 2.5, "x")]
+    assert "Python" not in plan._jdf.queryExecution().toString() and "ExistingRDD" not in plan._jdf.queryExecution().toString()
+    assert kd_shards._table(spark, [], "node long").count() == 0
+
+
 def test_shard_edges(documents, wide, nothing):
     assert kd_shards.shard(nothing, leaves=8).count() == 0
     rows = kd_shards.shard(wide, target_bytes=100_000).collect()
