@@ -10,8 +10,9 @@ from checks.market_queries import lines
 from checks.play_queries import positions
 from checks.registry import register
 from scorecast.operators import features as ft
+from scorecast.operators.play_sums import play_sums
 from scorecast.operators.plays import usage_share
-from scorecast.operators.windows import lagged_means, lagged_means_in_blocks, stretches
+from scorecast.operators.windows import cut_by_size, lagged_means, lagged_means_in_blocks
 from scorecast.plans import feature_table as plan
 from scorecast.sources.store import save
 
@@ -25,7 +26,7 @@ _WEEKLY_COLUMNS = """
 
 def inputs(spark: SparkSession, sf_dir: str) -> plan.Inputs:
     # Here plays come from a join of four tables; storing them joins once instead of once per aggregate.
-    plays = save(views.plays(spark, sf_dir), "plays", partition_by="season")
+    plays = save(views.plays(spark, sf_dir), "plays")
     return plan.Inputs(
         weekly=views.weekly(spark, sf_dir, plays),
         plays=plays,
@@ -141,13 +142,14 @@ def lagged_mean_entity_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lagged_mean_team_game(spark: SparkSession, sf_dir: str) -> DataFrame:
     given, order = inputs(spark, sf_dir), ["season", "week"]
+    sums = play_sums(given.plays)
     # Means of teams need the calendar of their games, not the players.
     games = ft.label_weekly(given.weekly).select("recent_team", "opponent_team", *order).distinct()
     games = save(games, "games")
-    defences = lagged_means(plan.defence_games(games, given), ["opponent_team"], order, ft.DEFENCE_MEANS).select(
+    defences = lagged_means(plan.defence_games(games, given, sums), ["opponent_team"], order, ft.DEFENCE_MEANS).select(
         F.lit("defence").alias("side"), F.col("opponent_team").alias("team"), *order, *ft.DEFENCE_MEANS
     )
-    offences = lagged_means(plan.offence_games(games, given), ["recent_team"], order, ft.OFFENCE_MEANS).select(
+    offences = lagged_means(plan.offence_games(games, given, sums), ["recent_team"], order, ft.OFFENCE_MEANS).select(
         F.lit("offence").alias("side"), F.col("recent_team").alias("team"), *order, *ft.OFFENCE_MEANS
     )
     return defences.unionByName(offences, allowMissingColumns=True)
@@ -168,18 +170,13 @@ def lagged_mean_rowwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Team means over player rows instead of games; a team may have any number of them, so they run in blocks."""
     given = inputs(spark, sf_dir)
     players = save(ft.label_weekly(given.weekly).select(*ft.PLAYER_WEEK, "opponent_team"), "player-weeks")
-    rows = ft.join_teams(players, save(plan.defence_games(players, given), "defences")).select(
-        *ft.PLAYER_WEEK,
-        "opponent_team",
-        stretches(players, "player_id", 16).alias("id_range"),
-        *[source for source, _ in ft.DEFENCE_MEANS.values()],
+    defences = save(plan.defence_games(players, given, play_sums(given.plays)), "defences")
+    rows = ft.join_teams(players, defences).select(
+        *ft.PLAYER_WEEK, "opponent_team", *[source for source, _ in ft.DEFENCE_MEANS.values()]
     )
+    keys, order = ["opponent_team"], ["season", "week", "player_id", "recent_team"]
     return lagged_means_in_blocks(
-        save(rows, "rowwise"),
-        keys=["opponent_team"],
-        block=["season", "week", "id_range"],
-        order=["player_id", "recent_team"],
-        means=ft.DEFENCE_MEANS,
+        cut_by_size(rows, keys, order), keys=keys, block=["block"], order=order, means=ft.DEFENCE_MEANS
     ).select(*ft.PLAYER_WEEK, "opponent_team", *ft.DEFENCE_MEANS)
 
 
@@ -204,8 +201,9 @@ _INTERACTION = """
 )
 def matchup_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = inputs(spark, sf_dir)
-    players = plan.player_history(given)
-    rows = ft.join_teams(players, save(plan.defence_games(players, given), "defences"))
+    sums = play_sums(given.plays)
+    players = plan.player_history(given, sums)
+    rows = ft.join_teams(players, save(plan.defence_games(players, given, sums), "defences"))
     return rows.select(*ft.PLAYER_WEEK, "position", ft.matchup_interaction("").alias("interaction"))
 
 

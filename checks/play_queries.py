@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from checks import views
 from checks.registry import register
 from scorecast.operators import plays as ops
+from scorecast.operators.play_sums import summed_plays
 
 
 def _usage_sql(zone: str, yards: int) -> str:
@@ -110,3 +111,56 @@ views.SQL["allowed_positions"] = """
 )
 def allowed_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.allowed_by_position(views.plays(spark, sf_dir), positions(spark, sf_dir))
+
+
+_ZONE = "SELECT *, yardline_100 <= 5 AS near FROM plays WHERE yardline_100 <= 20"
+_NONE = "CAST(0 AS DOUBLE)"
+
+
+def _kind_sql(kind: str, team: str, sums: list[str], source: str, player: str = "NULL", drive: str = "NULL") -> str:
+    numbers = ", ".join(f"{s} AS sum_{i}" for i, s in enumerate(sums + [_NONE] * (4 - len(sums))))
+    return f"""
+  SELECT '{kind}' AS kind, {team} AS team, season, week, {player} AS player_id, {drive} AS drive, {numbers}
+  FROM {source} WHERE {team} IS NOT NULL AND season IS NOT NULL AND week IS NOT NULL
+  GROUP BY ALL
+"""
+
+
+def _number(column: str, where: str = "true") -> str:
+    return f"coalesce(CAST(sum({column}) FILTER (WHERE {where}) AS DOUBLE), 0)"
+
+
+_RUSHES = [_number("rush_attempt"), _NONE, _number("rush_attempt", "near"), _NONE]
+_TARGETS = [_NONE, _number("pass_attempt"), _NONE, _number("pass_attempt", "near")]
+_PLAYER_SUMS = ", ".join(f"sum(sum_{i}) AS sum_{i}" for i in range(4))
+_SCORED = "SELECT * FROM plays WHERE {flag} = 1 AND {player} IS NOT NULL"
+_SUMS_SQL = " UNION ALL ".join(
+    [
+        _kind_sql("team", "posteam", [_RUSHES[0], _TARGETS[1], _RUSHES[2], _TARGETS[3]], f"({_ZONE})"),
+        f"""SELECT kind, team, season, week, player_id, drive, {_PLAYER_SUMS} FROM (
+              {_kind_sql("player", "posteam", _RUSHES, f"({_ZONE} AND rusher_player_id IS NOT NULL)", "rusher_player_id")}
+              UNION ALL
+              {_kind_sql("player", "posteam", _TARGETS, f"({_ZONE} AND receiver_player_id IS NOT NULL)", "receiver_player_id")}
+            ) GROUP BY ALL""",
+        _kind_sql("drive", "posteam", [_number("1", "touchdown = 1")], f"({_ZONE} AND drive IS NOT NULL)", drive="drive"),
+        _kind_sql(
+            "defence",
+            "defteam",
+            [_number(c) for c in ("pass_touchdown", "rush_touchdown", "touchdown")] + [f"round({_number('epa')}, 4) + 0.0"],
+            "(SELECT * FROM plays WHERE posteam IS NOT NULL)",
+        ),
+        f"""SELECT kind, team, season, week, player_id, drive, {_PLAYER_SUMS} FROM (
+              {_kind_sql("scorer", "defteam", [_number("1"), _NONE],
+                         f"({_SCORED.format(flag='rush_touchdown', player='rusher_player_id')})", "rusher_player_id")}
+              UNION ALL
+              {_kind_sql("scorer", "defteam", [_NONE, _number("1")],
+                         f"({_SCORED.format(flag='pass_touchdown', player='receiver_player_id')})", "receiver_player_id")}
+            ) GROUP BY ALL""",
+    ]
+)
+
+
+@register("play_sums", views.with_sql("plays", _SUMS_SQL), digits=4)
+def play_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums behind usage, drives and what defences allow, for all kinds of group in one scan."""
+    return summed_plays(views.plays(spark, sf_dir))

@@ -73,7 +73,12 @@ def usage_share(plays: DataFrame, zones: Mapping[str, int] = ZONES) -> DataFrame
         .agg(*sums)
     )
     teams, players = save_split(summed, "usage", "is_team")
-    counted = [name for name in players.columns if name not in ("player_id", *TEAM_WEEK)]
+    return shares_of(players, teams, zones)
+
+
+def shares_of(players: DataFrame, teams: DataFrame, zones: Mapping[str, int] = ZONES) -> DataFrame:
+    """Each player's sums beside those of the team, and the part they are; both tables have the sums of every zone."""
+    counted = [f"{zone}_{kind}" for zone in zones for kind in ("rushes", "targets")]
     teams = teams.select(*TEAM_WEEK, *[F.col(name).alias(f"team_{name}") for name in counted])
     players = players.withColumnsRenamed({name: f"player_{name}" for name in counted})
     joined = players.join(teams, TEAM_WEEK, "left")
@@ -97,6 +102,11 @@ def drive_conversion(plays: DataFrame, zone: int = ZONES["redzone"]) -> DataFram
         .groupBy(*TEAM_WEEK, "drive")
         .agg(F.max(is_one(F.col("touchdown")).cast("int")).alias("is_td"))
     )
+    return conversion_of(drives)
+
+
+def conversion_of(drives: DataFrame) -> DataFrame:
+    """Trips, touchdowns and rate per team and week, from one row per drive with its ``is_td``."""
     return (
         drives.groupBy(*TEAM_WEEK)
         .agg(F.count(F.lit(1)).alias("redzone_trips"), F.sum("is_td").alias("redzone_tds"))
@@ -168,6 +178,11 @@ def allowed_by_position(plays: DataFrame, positions: DataFrame) -> DataFrame:
             F.count_if(F.col("kind") == "passing").alias("passing"),
         )
     )
+    return allowed_of(per_scorer, positions)
+
+
+def allowed_of(per_scorer: DataFrame, positions: DataFrame) -> DataFrame:
+    """Touchdowns allowed by position, from the ``rushing`` and ``passing`` ones of each scorer against a defence."""
     keys = ["player_id", "season"] if "season" in positions.columns else ["player_id"]
     counts = [
         F.sum(F.when(F.col("position") == position, F.col(kind))).alias(f"{kind}_tds_allowed_to_{position}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from scorecast.functions.columns import known, present, steps_reached
+from scorecast.sources.store import save
 
 # Result column -> (source column, how many earlier rows).
 Means = Mapping[str, tuple[str, int]]
@@ -84,6 +85,25 @@ def stretches(df: DataFrame, column: str, n: int) -> Column:
     return steps_reached(F.col(column), sorted(set(found["cuts"] or [])))
 
 
+BLOCK_ROWS = 1_000_000
+
+
+def cut_by_size(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = BLOCK_ROWS, column: str = "block"
+) -> DataFrame:
+    """``df``, stored, with a ``column`` of consecutive blocks of about ``rows`` rows each, for ``lagged_means_in_blocks``.
+
+    Rows are range-partitioned by keys and order, and the partition is the
+    block: a key with few rows lies in one, a key with half of all rows fills
+    half of them, and rows with a missing key are cut like any other. Cuts
+    come from Spark's sample of the ranges, so sizes are about equal. There are
+    never fewer blocks than shuffle partitions. Equal rows of a key stay
+    together, so ``order`` should be total within a key.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    return save(df.repartitionByRange(parts, *keys, *order).withColumn(column, F.spark_partition_id()), "blocks")
+
+
 def recent_means(df: DataFrame, keys: Sequence[str], order: Sequence[str], means: Means) -> DataFrame:
     """Mean of the last n rows of each key: the lagged mean its next row would get."""
     longest = max(n for _, n in means.values())

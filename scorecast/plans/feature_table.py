@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from scorecast.functions.columns import fill_missing
 from scorecast.operators import features as ft
 from scorecast.operators.market import require_coverage
-from scorecast.operators.plays import ZONES, allowed_by_position, allowed_by_team, drive_conversion, usage_share
+from scorecast.operators.play_sums import PlaySums, play_sums
+from scorecast.operators.plays import ZONES
 from scorecast.operators.windows import lagged_means
 from scorecast.sources.store import save, save_together
 from scorecast.sources.tables import require_unique
@@ -43,33 +44,36 @@ class Histories:
     defences: DataFrame
 
 
-def player_history(inputs: Inputs) -> DataFrame:
+def player_history(inputs: Inputs, sums: PlaySums) -> DataFrame:
     labelled = ft.label_weekly(inputs.weekly)
-    return save(ft.join_players(labelled, usage_share(inputs.plays), SHARES), "players")
+    return save(ft.join_players(labelled, sums.usage_share(), SHARES), "players")
 
 
-def offence_games(players: DataFrame, inputs: Inputs) -> DataFrame:
-    return ft.team_games(players, "recent_team", drive_conversion(inputs.plays), ft.lines_by_team(inputs.lines))
+def offence_games(players: DataFrame, inputs: Inputs, sums: PlaySums) -> DataFrame:
+    return ft.team_games(players, "recent_team", sums.drive_conversion(), ft.lines_by_team(inputs.lines))
 
 
-def defence_games(players: DataFrame, inputs: Inputs) -> DataFrame:
+def defence_games(players: DataFrame, inputs: Inputs, sums: PlaySums) -> DataFrame:
     return ft.team_games(
         players,
         "opponent_team",
-        allowed_by_team(inputs.plays),
-        allowed_by_position(inputs.plays, inputs.positions),
+        sums.allowed_by_team(),
+        sums.allowed_by_position(inputs.positions),
     )
 
 
 def build_histories(inputs: Inputs, check: bool = False) -> Histories:
     """Three stored tables: player weeks with usage, and the games of offences and of defences.
 
+    The plays are read once, for all their aggregates together.
+
     ``check`` fails on repeated keys, which would multiply rows or counts, and
     on teams that have no lines at all, whose totals would silently be 0.
     """
-    players = player_history(inputs)
+    sums = play_sums(inputs.plays)
+    players = player_history(inputs, sums)
     offences, defences = save_together(
-        {"offences": offence_games(players, inputs), "defences": defence_games(players, inputs)}
+        {"offences": offence_games(players, inputs, sums), "defences": defence_games(players, inputs, sums)}
     )
     histories = Histories(players, offences, defences)
     if check:

@@ -12,7 +12,7 @@ to remove these files as soon as the job ends.
 from __future__ import annotations
 
 import threading
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from uuid import uuid4
 
@@ -84,23 +84,29 @@ def save_together(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
     return side_by_side(spark, lambda item: save(item[1], item[0]), tables.items(), threads=len(tables))
 
 
-def save_split(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, DataFrame]:
-    """Write ``df`` in one job and read back its rows with and without ``flag``.
+def save_parts(df: DataFrame, name: str, by: str, values: Sequence[str]) -> dict[str, DataFrame]:
+    """Write ``df`` in one job and read back its rows by the value of one column.
 
-    Each half is read from its own folder, so each has its own size estimate.
+    Each part is read from its own folder, so each has its own size estimate.
     """
     path = _new_path(df, name)
     with _shuffles_removed(df.sparkSession):
-        df.write.partitionBy(flag).parquet(path)
-    schema = StructType([field for field in df.schema.fields if field.name != flag])
+        df.write.partitionBy(by).parquet(path)
+    schema = StructType([field for field in df.schema.fields if field.name != by])
     spark = df.sparkSession
 
-    def half(value: str) -> DataFrame:
+    def part(value: str) -> DataFrame:
         try:
-            return spark.read.schema(schema).parquet(f"{path}/{flag}={value}")
+            return spark.read.schema(schema).parquet(f"{path}/{by}={value}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return spark.createDataFrame([], schema)
 
-    return half("true"), half("false")
+    return {value: part(value) for value in values}
+
+
+def save_split(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, DataFrame]:
+    """``save_parts`` for a flag: the rows with it and those without."""
+    halves = save_parts(df, name, flag, ["true", "false"])
+    return halves["true"], halves["false"]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorecast.operators.windows import (
+    cut_by_size,
     lagged_means,
     lagged_means_in_blocks,
     latest_present,
@@ -81,6 +82,27 @@ def test_blocks_give_the_same_means(spark, block):
     assert_means(lagged_means_in_blocks(df, ["k"], block, ["season", "week", "id"], MEANS), rows)
 
 
+@pytest.mark.parametrize("rows_each", [10**6, 25])
+def test_blocks_by_size_spread_a_key_with_half_of_all_rows(spark, rows_each):
+    rows = history() + [("hot", 2022, i % 30 + 1, 10_000 + i, float(i % 21), float(i % 10)) for i in range(1_200)]
+    rows += [(None, 2023, i % 30 + 1, 20_000 + i, 1.0, 1.0) for i in range(800)]
+    order = ["season", "week", "id"]
+    df = cut_by_size(save(spark.createDataFrame(rows, SCHEMA), "history"), ["k"], order, rows_each)
+    sizes = sorted(r["count"] for r in df.groupBy("k", "block").count().collect())
+    share = max(len(rows) / int(spark.conf.get("spark.sql.shuffle.partitions")) if rows_each > len(rows) else rows_each, 1)
+    assert sizes[-1] <= 2 * share + 1
+    assert df.where("k = 'hot'").select("block").distinct().count() >= 3
+    assert df.where("k IS NULL").select("block").distinct().count() >= 2
+    means = lagged_means_in_blocks(df, ["k"], ["block"], order, MEANS)
+    assert means.where("k IS NULL AND avg_a IS NULL").count() == 800
+    assert_means(means.where("k IS NOT NULL"), [r for r in rows if r[0] is not None])
+
+
+def test_blocks_of_an_empty_table(spark):
+    df = cut_by_size(spark.createDataFrame([], SCHEMA), ["k"], ["id"])
+    assert lagged_means_in_blocks(df, ["k"], ["block"], ["id"], MEANS).count() == 0
+
+
 def test_blocks_keep_rows_without_values(spark):
     df = save(spark.createDataFrame([("k", 1, 1, 1, None, 1.0), ("k", 1, 2, 2, None, 2.0)], SCHEMA), "history")
     got = records(lagged_means_in_blocks(df, ["k"], ["season", "week"], ["id"], MEANS), "id")
