@@ -460,6 +460,35 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), queries.RULES, model).count() == 0
 
 
+def plain_url(url):
+    """(host, path) by cutting the text, without patterns."""
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    for mark in "#?":
+        rest = rest.split(mark, 1)[0]
+    host, slash, path = rest.partition("/")
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + path
+
+
+def plain_rule(host, path):
+    found = [r for r in queries.RULES if ("." + host).endswith("." + r.host) and path.startswith(r.path)]
+    return max(found, key=lambda r: len(r.name), default=None)
+
+
+def test_url_query_matches_brute_force(spark):
+    """Every page's host, path, rule and ruled verdict."""
+    sf_dir = "/root/testdata/sf0.01"
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()}
+    got = queries.op9_url_filter(spark, sf_dir).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path = plain_url(urls[r["page_id"]])
+        rule = plain_rule(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule.name)
+        assert r["verdict"] == rule.verdict if rule else r["verdict"] in ("allow", "block")
+
+
 def test_urls_with_clashing_names_repeated_rows_and_very_long_ones(spark):
     long = "http://a.org/" + "x" * 200_000
     rows = [(1, long, "h", "p", "r", "v"), (1, long, "h", "p", "r", "v"), (2, None, None, None, None, None)]
