@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from scorecast.operators.models import VECTOR, Learner, assemble
+from scorecast.operators.play_sums import play_sums
 from scorecast.sources import store
 from scorecast.sources.store import save, save_parts, small_splits
+from tests.test_plays import SCHEMA, play
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
+MERGED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
 @pytest.fixture
@@ -61,3 +65,20 @@ def test_a_fit_keeps_a_bounded_number_of_rows_per_task(spark, tiny):
     stored = save(assemble(rows, ["a", "b"]).select(VECTOR, "y"), "fit-rows")
     kept = Learner("counting", Counting, "balanced", {}).fit(stored, "y", {})
     assert sum(kept) == 2_000 and max(kept) <= 200
+
+
+def test_sums_of_plays_are_combined_in_small_tasks(spark, tiny, monkeypatch):
+    plays = [play("A", "B", 1 + i % 4, 1.0, float(i % 30), f"r{i}", None) for i in range(1_000)]
+    stored = save(spark.createDataFrame(plays, SCHEMA).coalesce(1), "plays")
+    asked = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(
+        DataFrameWriter,
+        "parquet",
+        lambda self, path: (asked.append([spark.conf.get(s) for s in (SPLIT, MERGED)]), write(self, path))[1],
+    )
+    shares = play_sums(stored).usage_share()
+    assert shares.count() == sum(1 for i in range(1_000) if i % 30 <= 20)
+    assert asked == [["4096", "4096"]]
+    with small_splits(spark):
+        assert stored.select("*").rdd.getNumPartitions() >= 5
