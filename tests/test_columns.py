@@ -6,7 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from checks.registry import shown
 from scorecast.functions import columns as fn
+from scorecast.sources.store import save
 
 
 def values(spark, schema, data, *expressions):
@@ -113,3 +115,22 @@ def test_probabilities_of_all_prices(spark):
     for price, probability in got:
         want = 0.0 if price == 0 else 100 / (price + 100) if price > 0 else -price / (100 - price)
         assert probability == pytest.approx(want) and 0.0 <= probability < 1.0
+
+
+def test_rounded_is_sparks_rounding(spark):
+    edges = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 5e-7, -5e-7, 4.9999e-7, -1e-7, 5e-324]
+    edges += [0.0000015, 1.0000025, -2.6750005, 1.005, 1 / 3, 999_999.9999995, 1e6, 123_456_789.123_456_5, -1.7e308]
+    ties = [(2 * i + 1) / 2e6 * side for i in range(0, 3_000_000, 1_009) for side in (1, 1 + 1e-15, -1, 1 - 1e-15)]
+    rows = spark.createDataFrame([(x,) for x in edges + ties + [i / 7 for i in range(-5_000, 5_000)]], "x double")
+    for digits in (0, 4, 6):
+        # As text, where -0.0 is not 0.0.
+        got, wanted = fn.rounded(F.col("x"), digits), F.round("x", digits) + F.lit(0.0)
+        assert rows.where(~got.cast("string").eqNullSafe(wanted.cast("string"))).count() == 0
+
+
+def test_rounding_of_many_columns_stays_short_enough_to_be_compiled(spark):
+    numbers = spark.range(100).select(*[F.rand(i).alias(f"c{i}") for i in range(60)])
+    asked = shown(save(numbers, "numbers"))
+    code = spark._jvm.PythonSQLUtils.explainString(asked._jdf.queryExecution(), "codegen")
+    rounding = re.findall(r"private void \w*subExpr_\d+\(", code)
+    assert len(set(rounding)) >= 60  # a method for each column; HotSpot leaves methods above 8,000 bytes uncompiled
