@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from scorecast.operators.models import VECTOR, Learner, assemble
+from scorecast.operators import search
+from scorecast.operators.models import RANDOM_FOREST, VECTOR, Learner, assemble
 from scorecast.operators.play_sums import play_sums
 from scorecast.sources import store
 from scorecast.sources.store import save, save_parts, small_splits
@@ -82,3 +83,21 @@ def test_sums_of_plays_are_combined_in_small_tasks(spark, tiny, monkeypatch):
     assert asked == [["4096", "4096"]]
     with small_splits(spark):
         assert stored.select("*").rdd.getNumPartitions() >= 5
+
+
+def test_fits_of_a_large_table_run_one_at_a_time(spark, monkeypatch):
+    rows = spark.range(0, 1_200, 1, 1).select((F.col("id") % 2).alias("y"), F.rand(1).alias("a"), (F.col("id") % 3).cast("int").alias("block"))
+    prepared = save(assemble(rows, ["a"]).select(VECTOR, "y", "block"), "search", partition_by="block")
+    asked = []
+    run = search.side_by_side
+    monkeypatch.setattr(search, "side_by_side", lambda *given: (asked.append(given[-1]), run(*given))[1])
+
+    def scores(parallelism):
+        grid = {"numTrees": [2], "maxDepth": [2, 3]}
+        return search.random_search(prepared, RANDOM_FOREST, "y", draws=2, n_splits=2, grid=grid, parallelism=parallelism).scores
+
+    together = scores(4)
+    assert [draw_fold[:2] for draw_fold in together] == [(0, 1), (0, 2), (1, 1), (1, 2)] and scores(1) == together
+    monkeypatch.setattr(store, "SPLIT_BYTES", 64)
+    scores(4)
+    assert asked == [4, 1, 1]
