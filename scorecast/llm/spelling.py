@@ -8,6 +8,9 @@ rolling hashes, joined with the reduced vocabulary, and the pairs found are
 verified on the original words. A filter of fixed size over the reduced
 vocabulary drops most generated hashes before they are shuffled.
 
+Tables that grow with the vocabulary are merged and never broadcast: Spark
+would size them by compressed files, and generated rows like those they come from.
+
 The form of a word is its near word of largest count, if that is at least
 ``RATIO`` times the word's own count; counts grow by that factor along a
 chain of forms, so that few doublings lead to its last word, the root.
@@ -142,6 +145,11 @@ def neighbourhood(rows: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
     return np.concatenate(parts, axis=1)  # replacing a symbol by itself gives the word itself
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """``side`` of a join that sorts and merges, whatever size Spark thinks it has."""
+    return side.hint("merge")
+
+
 def _by_length(batch: pa.RecordBatch, cells: int) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Places and words of equal length, at most ``cells`` letters together or one word."""
     words = batch.column("word").to_pylist()
@@ -180,7 +188,7 @@ def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[row, at]), taken.column("word"), taken.column("n")], names=["h", "word", "n"])
 
     generated = known.where("word <> ''").mapInArrow(generate, "h long, word string, n long")
-    met = generated.join(known.select("h", F.col("word").alias("near"), F.col("n").alias("near_n")), "h")
+    met = generated.join(_merged(known.select("h", F.col("word").alias("near"), F.col("n").alias("near_n"))), "h")
     one_edit = (F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)
     return met.where(one_edit).select("word", "n", "near", "near_n")
 
@@ -193,7 +201,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     paths = save(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         further = paths.select(F.col("word").alias("root"), F.col("root").alias("last"))
-        moved = paths.join(further, "root", "left")
+        moved = paths.join(_merged(further), "root", "left")
         paths = save(moved.select("word", F.coalesce("last", "root").alias("root"), F.col("last").isNotNull().alias("moved")), "spelling-roots")
         if paths.where("moved").isEmpty():
             return paths.select("word", "root")
@@ -207,10 +215,10 @@ def group_variants(vocabulary: DataFrame, ratio: int = RATIO, symbols: int = SYM
     near = near_words(words, symbols)
     # The smallest of (-count, word) is the largest count, and of equal ones the smallest word.
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    chosen = words.select("word", "n").join(best, "word").select("word", "n_near", "best.near", (-F.col("best.less")).alias("near_n"), "n")
+    chosen = words.select("word", "n").join(_merged(best), "word").select("word", "n_near", "best.near", (-F.col("best.less")).alias("near_n"), "n")
     reached = F.col("near_n") >= F.lit(ratio) * F.col("n")
     forms = save(chosen.select("word", "n_near", F.when(reached, F.col("near")).alias("form"), F.when(reached, F.col("near_n")).alias("form_n")), "spelling-forms")
-    rooted = words.join(forms, "word", "left").join(_roots(forms.where("form is not null")), "word", "left")
+    rooted = words.join(_merged(forms), "word", "left").join(_merged(_roots(forms.where("form is not null"))), "word", "left")
     return rooted.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n", *kept)
 
 

@@ -84,6 +84,22 @@ def test_variants_match_brute_force(spark):
     assert spelled(found) == brute_variants(words)
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Small tables here: left to itself, Spark broadcasts a side of every join."""
+    stored, plans = spelling.save, []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(spelling, "save", lambda df, name: (plans.append(plan(df)), stored(df, name))[1])
+    words = {"accommodate": 20_000, "accomodate": 3_000, "acomodate": 400, "acomodat": 80}
+    found = spelling.group_variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+    assert spelled(found) == brute_variants(words)
+    found.collect()
+    plans.append(plan(found))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize("symbols", [2, 3])
 def test_neighbourhood_is_full(symbols):
     row = spelling.reduced(["abcdef"], symbols)
