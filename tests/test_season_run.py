@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from scorecast.errors import DuplicateKeyError, EmptySourceError, UnmappedTeamError
 from scorecast.operators import features as ft
 from scorecast.operators.folds import hashed_folds, season_split, with_blocks
-from scorecast.operators.models import BOOSTED_TREES, RANDOM_FOREST, assemble, importances, with_probability
-from scorecast.operators.search import draw_params, prepare, random_search
+from scorecast.operators.models import BOOSTED_TREES, RANDOM_FOREST, Learner, assemble, importances, with_probability
+from scorecast.operators.search import _LastFoldModels, draw_params, prepare, random_search
 from scorecast.operators.stacking import out_of_fold
-from scorecast.plans import season_run
+from scorecast.plans import backtest, season_run
 from scorecast.plans.backtest import stack
 from scorecast.plans.feature_table import Inputs, build_histories, encode, lagged_features, opponent_codes
 from scorecast.plans.week_scores import PROBABILITY, score_week, scoring_frame
@@ -240,6 +240,41 @@ def test_search_scores_every_draw_on_every_fold(spark, features):
     assert found.scores_table(spark).count() == 6
 
 
+def test_tuning_reads_training_seasons_alone_and_fits_no_model_twice(features, monkeypatch):
+    plans, fits = [], []
+
+    def prepared(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return prepare(df, *rest)
+
+    def fitted(learner, weighed, label, params):
+        model = fit_weighed(learner, weighed, label, params)
+        fits.append((weighed.count(), tuple(params.items())))
+        return model
+
+    fit_weighed = Learner.fit_weighed
+    monkeypatch.setattr(backtest, "prepare", prepared)
+    monkeypatch.setattr(Learner, "fit_weighed", fitted)
+    found = backtest.tune(features, 2024, RANDOM_FOREST, draws=2, n_splits=2, grid={"numTrees": [2], "maxDepth": [1, 3]})
+    assert "PartitionFilters: [isnotnull(season" in plans[0]
+    assert len(fits) == len(set(fits)) == 2 * 2 + 1
+    monkeypatch.undo()
+    train = prepare(assemble(season_split(features, 2024)[0], ft.FEATURES), ft.LABEL, 2)
+    again = RANDOM_FOREST.fit(train.where("block < 2"), ft.LABEL, found.search.best_params)
+    assert found.search.last_fold_model.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:]
+    validation = train.where("block = 2")
+    assert found.evaluation.threshold == backtest.threshold_from(validation, lambda df, column: with_probability(again, df, column))
+
+
+def test_the_search_keeps_the_model_of_the_best_draw_alone():
+    kept = _LastFoldModels(2)
+    for draw, fold, score in [(0, 2, 0.5), (1, 1, 0.9), (0, 1, 0.5), (1, 2, 0.3), (2, 1, 0.6), (2, 2, 0.4), (3, 2, 0.0)]:
+        kept.add(draw, fold, f"model {draw}", score)
+    assert kept.of(1) == "model 1" and set(kept._models) == {1, 3}
+    kept.add(3, 1, "fold 1", 0.1)
+    assert set(kept._models) == {1}
+
+
 def test_out_of_fold_rows_are_scored_once(features):
     rows = assemble(features, ft.FEATURES).select("features", ft.LABEL, *ft.PLAYER_WEEK)
     folded = hashed_folds(rows, ft.PLAYER_WEEK, 3)
